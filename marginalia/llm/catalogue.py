@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import distinctive, frequency, sql, splitting, together
+from marginalia.llm import distinctive, frequency, garbling, leakage, sql, splitting, together
 from marginalia.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def queries() -> dict[str, Query]:
         "p6_term_weights": _over(distinctive.term_weights, "indexed_documents"),
         "p7_found": _over(splitting.found, "indexed_documents", "semantic_documents"),
         "p7_pieces": _over(splitting.all_pieces, "indexed_documents", "semantic_documents"),
+        "p8_found": _over(leakage.found, "documents", "eval_items"),
+        "p8_leaks": _over(leakage.leaks, "documents", "eval_items"),
+        "p10_found": _over(garbling.found, "documents"),
+        "p10_repaired": _over(garbling.garbled, "documents"),
     }
 
 
