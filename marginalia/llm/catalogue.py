@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import distinctive, frequency, garbling, leakage, sql, splitting, together
+from marginalia.llm import distinctive, frequency, garbling, leakage, mixing, sql, splitting, together
 from marginalia.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,9 @@ def queries() -> dict[str, Query]:
         "p7_pieces": _over(splitting.all_pieces, "indexed_documents", "semantic_documents"),
         "p8_found": _over(leakage.found, "documents", "eval_items"),
         "p8_leaks": _over(leakage.leaks, "documents", "eval_items"),
+        "p9_found": _over(mixing.found, "documents", "mix_targets"),
+        "p9_mix": _over(lambda d, t: mixing.mix(d, t)[0], "documents", "mix_targets"),
+        "p9_report": _over(lambda d, t: mixing.mix(d, t)[1], "documents", "mix_targets"),
         "p10_found": _over(garbling.found, "documents"),
         "p10_repaired": _over(garbling.garbled, "documents"),
     }
