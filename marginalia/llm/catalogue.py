@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import distinctive, frequency, garbling, leakage, lookalikes, mixing, sql, splitting, together
+from marginalia.llm import distinctive, frequency, garbling, language, leakage, lookalikes, mixing, sql, splitting, together
 from marginalia.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,8 @@ def queries() -> dict[str, Query]:
     return {
         "p2_found": _over(lookalikes.same_looking, "indexed_documents"),
         "p2_normalized": _over(lookalikes.normalized, "indexed_documents"),
+        "p3_found": _over(language.found, "indexed_documents"),
+        "p3_languages": _over(language.languages, "indexed_documents"),
         "p4_found": _over(frequency.found, "indexed_documents"),
         "p4_term_frequency": _over(frequency.term_frequency, "indexed_documents"),
         "p5_found": _over(together.found, "indexed_documents"),
