@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import distinctive, frequency, garbling, language, leakage, lookalikes, mixing, sql, splitting, together
+from marginalia.llm import distinctive, frequency, garbling, language, leakage, lookalikes, markup, mixing, sql, splitting, together
 from marginalia.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,9 @@ def _over(run: Callable[..., DataFrame], *names: str) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": _over(markup.found, "indexed_documents"),
+        "p1_clean": _over(markup.cleaned, "indexed_documents"),
+        "p1_clean_lines": _over(markup.cleaned_lines, "note_lines"),
         "p2_found": _over(lookalikes.same_looking, "indexed_documents"),
         "p2_normalized": _over(lookalikes.normalized, "indexed_documents"),
         "p3_found": _over(language.found, "indexed_documents"),
