@@ -44,8 +44,8 @@ def top_lines(lines: DataFrame, terms: list[str], key: str = "note_id", k: int =
 def fuzzy_match(text: str, query: str) -> tuple[int, list[int]] | None:
     """The best alignment of a query as a subsequence of a text: its score and the columns.
 
-    Sixteen for each character, more at the start of a word, after a separator or at a capital, and
-    for each that follows the one before at once; less for gaps. Case counts only if the query has
+    Sixteen for each character, more at the start of a word, after a separator or at a capital; one
+    that follows the one before at once gets at least what the first of its run got; less for gaps. Case counts only if the query has
     capitals. None if the query is no subsequence.
     """
     if not query:
@@ -60,9 +60,9 @@ def fuzzy_match(text: str, query: str) -> tuple[int, list[int]] | None:
         p = text[i - 1] if i else " "
         bonus[i] = 8 if not p.isalnum() and c.isalnum() else 7 if (p.islower() and c.isupper()) or (not p.isdigit() and c.isdigit()) else 0
     low = -(10**9)
-    best, back = [low] * n, []
+    best, chunk, back = [low] * n, [0] * n, []
     for q, want in enumerate(query):
-        now, links, run, at = [low] * n, [-1] * n, low, -1
+        now, links, first, run, at = [low] * n, [-1] * n, [0] * n, low, -1
         for i in range(n):
             if run > low:
                 run -= 1
@@ -72,14 +72,14 @@ def fuzzy_match(text: str, query: str) -> tuple[int, list[int]] | None:
                 continue
             own = 16 + bonus[i] * (2 if q == 0 else 1)
             if q == 0:
-                now[i] = own
+                now[i], first[i] = own, bonus[i]
                 continue
-            direct = best[i - 1] + own + max(0, 4 - bonus[i]) if i and best[i - 1] > low else low
+            direct = best[i - 1] + 16 + max(bonus[i], chunk[i - 1], 4) if i and best[i - 1] > low else low
             if direct >= run + own and direct > low:
-                now[i], links[i] = direct, i - 1
+                now[i], links[i], first[i] = direct, i - 1, max(bonus[i], chunk[i - 1])
             elif run > low:
-                now[i], links[i] = run + own, at
-        best = now
+                now[i], links[i], first[i] = run + own, at, bonus[i]
+        best, chunk = now, first
         back.append(links)
     score = max(best, default=low)
     if score <= low:

@@ -20,7 +20,7 @@ def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (
 def read_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("md",)) -> DataFrame:
     """``(path, content)``: the files' whole texts; HTML comes as plain text, unsupported kinds are left out."""
     root = folder.rstrip("/")
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("__file"))
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("__file"))
     path = F.substring_index(F.col("__file"), root + "/", -1)
     readable = raw.withColumn("path", F.url_decode(path)).where(paths.extension(F.col("path")).isin(*extensions) & (paths.view_type(F.col("path")) == "markdown"))
     return readable.select("path", F.when(paths.extension(F.col("path")) == "html", html_to_text(F.col("value"))).otherwise(F.col("value")).alias("content"))

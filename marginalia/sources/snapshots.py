@@ -51,7 +51,7 @@ class Store:
         path = self._path(self._pointer(name))
         if not self._fs.exists(path):
             return None
-        return self.spark.read.option("wholetext", "true").text(self._pointer(name)).first()[0].strip()
+        return self.spark.read.text(self._pointer(name), wholetext=True).first()[0].strip()
 
     def load(self, name: str) -> DataFrame | None:
         """The current snapshot of a table; None if it is absent, so that the caller rebuilds."""
