@@ -17,9 +17,9 @@ from marginalia.sources.tables import drop_repeats
 BOUNDARY = re.compile(
     r"""(?P<paragraph>\n[^\S\n]*\n\s*)
     | (?P<line>\n)
-    | (?P<sentence>[.!?]["'”’)\]]*\s+ | [。！？])
-    | (?P<clause>[,;:]\s+ | [、，：；])
-    | (?P<space>\s+)""",
+    | (?P<sentence>[.!?]["'”’)\]]*[^\S\n]+ | [。！？])
+    | (?P<clause>[,;:][^\S\n]+ | [、，：；])
+    | (?P<space>[^\S\n]+)""",
     re.VERBOSE,
 )
 STRENGTH = {"paragraph": 5, "line": 4, "sentence": 3, "clause": 2, "space": 1}
