@@ -32,7 +32,8 @@ def matching_lines(lines: DataFrame, terms: list[str], prefix: bool = True, case
     if not terms:
         return lines.withColumn("score", F.lit(0.0)).limit(0)
     admitted = lines.where(F.col("text").rlike("|".join(f"(?:{term_pattern(t)})" for t in terms)))
-    return admitted.withColumn("score", line_score(F.col("text"), terms, prefix, case_sensitive)).where("score > 0")
+    scored = admitted.withColumn("score", line_score(F.col("text"), terms, prefix, case_sensitive))
+    return scored if prefix and not case_sensitive else scored.where("score > 0")
 
 
 def top_lines(lines: DataFrame, terms: list[str], key: str = "note_id", k: int = LINES, prefix: bool = True, tie: tuple[str, ...] = ("text",)) -> DataFrame:

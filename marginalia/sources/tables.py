@@ -40,11 +40,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions_for(df: DataFrame) -> int:
-    """Number of shuffle partitions of the session, at least one."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def drop_repeats(df: DataFrame, key: str, version: list[Column], broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per ``key``: the first by ``version``; rows without a key are all kept.
 
@@ -59,7 +54,7 @@ def drop_repeats(df: DataFrame, key: str, version: list[Column], broadcast_rows:
     def first(rows: DataFrame) -> DataFrame:
         return rows.withColumn("__rank", F.row_number().over(ranked)).where("__rank = 1").drop("__rank")
 
-    repeated = df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(F.col(key).alias("__key"))
+    repeated = materialize(df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(F.col(key).alias("__key")))
     n = repeated.limit(broadcast_rows + 1).count()
     if n == 0:
         return df
