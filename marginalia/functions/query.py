@@ -100,3 +100,20 @@ def maximal_terms(query: list[str], matched: list[str]) -> list[str]:
     if not kept:
         return [m for m in matched if not any(inside(m, o) for o in matched)]
     return kept + [m for m in matched if m not in kept and not any(inside(m, o) or inside(o, m) for o in matched)]
+
+
+def maximal(query: Column, matched: Column) -> Column:
+    """The same as ``maximal_terms`` for columns of arrays."""
+
+    def inside(a: Column, b: Column) -> Column:
+        return (F.length(a) < F.length(b)) & F.contains(b, a)
+
+    kept = F.array_distinct(F.filter(query, lambda q: F.array_contains(matched, q) & ~F.exists(query, lambda o: inside(q, o))))
+    alone = F.filter(matched, lambda m: ~F.exists(matched, lambda o: inside(m, o)))
+    others = F.filter(matched, lambda m: ~F.array_contains(kept, m) & ~F.exists(matched, lambda o: inside(m, o) | inside(o, m)))
+    return F.when(F.size(kept) == 0, alone).otherwise(F.concat(kept, others))
+
+
+def move_cursor(at: int, step: int, n: int) -> int:
+    """A place in a list of ``n`` results, moved and held inside it."""
+    return max(0, min(n - 1, at + step))

@@ -107,3 +107,26 @@ def term_pattern(term: str, prefix: bool = True, case_sensitive: bool = False) -
     """The Java pattern that finds a term in a line; without ``prefix`` no letter may follow."""
     quoted = re.sub(r"([^\w\s])", r"\\\1", term)
     return ("" if case_sensitive else "(?iu)") + quoted + ("" if prefix else "(?![a-zA-Z])")
+
+
+def mark_literal(text: Column, query: str) -> Column:
+    """The text, safe as HTML, with each occurrence of the query between ``<mark>`` tags, whatever its case."""
+    if not query:
+        return escape_html(text)
+    quoted = term_pattern(query.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+    return F.regexp_replace(escape_html(text), f"({quoted})", "<mark>$1</mark>")
+
+
+def joined_tags(tags: Column) -> Column:
+    """An array of tags as one string, each without a leading ``#``; null for null."""
+    return F.array_join(F.transform(tags, lambda t: F.regexp_replace(t, "^#", "")), " ")
+
+
+def front_matter(text: Column, key: str) -> Column:
+    """The values of a key of a note's front matter, written in brackets, as a list or as one value."""
+    block = F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)", 1)
+    inline = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\[([^\]\n]*)\]", 1)
+    listed = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\r?\n((?:[ \t]*-[ \t]+[^\n]*(?:\n|\z))+)", 1)
+    single = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*([^\[\s][^\n\r]*)", 1)
+    parts = F.when(inline != "", F.split(inline, ",")).when(listed != "", F.split(F.regexp_replace(listed, r"(?m)^[ \t]*-[ \t]+", ""), r"\r?\n")).otherwise(F.array(single))
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(F.trim(p), "^[\"']|[\"']$", "")), lambda p: p != "")

@@ -183,3 +183,14 @@ def context_budget(hits: DataFrame, lines: DataFrame, rows: int, budget: int, up
 def old_snippet(text: str, col: int, before: int = 30, after: int = 200) -> str:
     """A fixed cut around a column, as the former in-file search gave."""
     return text[max(0, col - before) : col + after]
+
+
+def old_search_in_file(docs: DataFrame, note_id: int, query: str, limit: int = 30) -> DataFrame:
+    """``(row_no, col, snippet)``: the former in-file search, with a fixed cut around the first column."""
+    from marginalia.operators.corpus import split_lines
+
+    one = docs.where(F.col("note_id") == note_id)
+    hits = fuzzy_lines(split_lines(one, "note_id", "content"), query, limit)
+    col = F.array_min("positions")
+    start = F.greatest(col - 30, F.lit(0))
+    return hits.select("row_no", col.alias("col"), F.substr(F.col("text"), start + 1, col + 200 - start).alias("snippet"))

@@ -114,8 +114,14 @@ def _present(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _maximal(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(i, " ".join(query.maximal_terms(q.split(), m.split()))) for i, (q, m) in enumerate(TERM_CASES)]
-    return _values(spark, rows, "case_id int, terms string")
+    rows = _values(spark, [(i, *c) for i, c in enumerate(TERM_CASES)], "case_id int, q string, m string")
+    terms = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
+    return rows.select("case_id", F.array_join(query.maximal(terms(F.col("q")), terms(F.col("m"))), " ").alias("terms"))
+
+
+def _counter(spark: SparkSession, d: str) -> DataFrame:
+    hits = search.search(docs_of(spark, d), FULL)
+    return hits.select("note_id", F.format_string("%d / %d", "rank", F.lit(hits.count())).alias("shown"))
 
 
 def queries() -> dict[str, Query]:
@@ -187,6 +193,10 @@ def queries() -> dict[str, Query]:
         "response_decode": lambda s, d: _values(s, [(200, 0), (200, -1), (200, -2), (200, 7), (500, 0)], "status int, code int").select("status", "code", formatting.answer_kind(F.col("status"), F.col("code")).alias("kind")),
         "lang_stats": lambda s, d: language.proportions(lines_of(s, d), "note_id", "text"),
         "wide_char_stats": lambda s, d: docs_of(s, d).select("note_id", text.wide_count(F.col("content")).cast("bigint").alias("n_wide"), text.is_large_charset(F.col("content")).alias("large")),
+        "context_marks": lambda s, d: lines.top_lines(lines_of(s, d), TERMS, k=1).select("note_id", "row_no", text.mark_literal(F.col("text"), "glass").alias("marked")),
+        "tag_list": lambda s, d: corpus.notes_once(notes(s, d)).select("note_id", text.joined_tags(F.split("tags", " ")).alias("joined")),
+        "result_counter": _counter,
+        "old_search_in_file": lambda s, d: snippets.old_search_in_file(docs_of(s, d), 4, "glsfrn"),
         "strip_query": lambda s, d: notes(s, d).select("note_id", text.strip_spaces(F.col("basename")).alias("stripped")).distinct(),
         # maintenance
         "refs_diff": lambda s, d: maintain.diff(files(s, d), refs(s, d).where("engine = 'lexical'")),
@@ -337,6 +347,9 @@ SELECT note_id, CASE WHEN a + b + c = 0 THEN 'other' WHEN a >= greatest(b, c) TH
   CASE WHEN a + b + c > 0 THEN format('{{:.2f}}%', round(a * 100.0 / (a + b + c), 2)) END AS en, CASE WHEN a + b + c > 0 THEN format('{{:.2f}}%', round(b * 100.0 / (a + b + c), 2)) END AS zh, CASE WHEN a + b + c > 0 THEN format('{{:.2f}}%', round(c * 100.0 / (a + b + c), 2)) END AS other FROM t""".replace("{{:.2f}}", "{:.2f}"),
     "wide_char_stats": D + "SELECT note_id, length(content) - length(regexp_replace(content, '[一-龥]', '', 'g')) AS n_wide, length(content) - length(regexp_replace(content, '[一-龥]', '', 'g')) >= ceil(0.35 * length(content)) AS large FROM docs",
     "strip_query": "SELECT DISTINCT note_id, regexp_replace(basename, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]', '', 'g') AS stripped FROM indexed_documents",
+    "context_marks": HITS + " SELECT note_id, row_no, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(glass)', '<mark>\\1</mark>', 'g') AS marked FROM ranked JOIN line USING (note_id, row_no) WHERE rank = 1",
+    "tag_list": f"WITH {S.NOTES} SELECT note_id, array_to_string(list_transform(string_split(tags, ' '), lambda t: regexp_replace(t, '^#', '')), ' ') AS joined FROM notes",
+    "result_counter": "WITH r AS (" + S.search(["glas", "furn"], True, True, 30) + ") SELECT note_id, format('{} / {}', rank, (SELECT count(*) FROM r)) AS shown FROM r",
     "refs_diff": DIFF.format("lexical"),
     "refs_diff_semantic": DIFF.format("semantic"),
     "stale_refs": "WITH " + FILES + ", r AS (SELECT engine, path, max(update_time) AS t FROM doc_refs WHERE path IS NOT NULL GROUP BY ALL) SELECT engine, r.path, CASE WHEN f.path IS NULL THEN 'missing' WHEN r.t IS NULL OR f.t > r.t THEN 'newer' ELSE 'current' END AS state FROM r LEFT JOIN f ON r.path = f.path",
