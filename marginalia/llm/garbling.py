@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.terms import sliced
+
 #: Legacy encodings as which UTF-8 bytes get read; where a byte has no character, the C1 control stands.
 READ_AS = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "cp866", "koi8-r", "mac_roman", "iso8859-15", "cp1250")
 #: Fixed values: (read as, meant) of text in an old encoding that was read as another old one.
 LEGACY = (("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "gbk"), ("cp1252", "cp866"), ("cp1252", "big5"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"))
+LATIN, REST = [x for x in LEGACY if x[0] == "cp1252"], [x for x in LEGACY if x[0] != "cp1252"]
 #: Russian letters from frequent to rare.
 RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 RANK = {c: k for k, c in enumerate(RUSSIAN)}
@@ -47,12 +50,19 @@ def _utf8_pattern(codec: str) -> re.Pattern[str]:
 
 
 UTF8 = {x: _utf8_pattern(x) for x in READ_AS}
+LEADS = {x: {c for c, b in BYTES[x].items() if 0xC2 <= b <= 0xF4} for x in READ_AS}
+TAILS = {x: {c for c, b in BYTES[x].items() if 0x80 <= b <= 0xBF} for x in READ_AS}
 #: Encodings whose upper half holds Cyrillic letters.
 CYRILLIC = {"cp1251", "cp866", "koi8-r"}
+#: What UTF-8 read in two of these always shows: signs for drawing boxes.
+BOXES = {chr(n) for n in range(0x2500, 0x25A1)}
+BOXED = {"cp866", "koi8-r"}
 HIGH = re.compile(r"[^\x00-\x7f]")
 LETTER = re.compile(r"[А-Яа-яЁё]")
 #: Words of only upper-half Latin characters, as Cyrillic or Chinese bytes read as Latin show.
 LATIN_RUN = re.compile(r"[\x80-\xffŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]+(?:[\s\d.,!?:;()\"'/+-]*[\x80-\xffŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]+)*")
+#: Fixed value: the ten commonest letters of Russian, which make up over half of any text.
+COMMON = "оеаинтсрвл"
 LATIN_CORE = re.compile(r"[\xa1-\xffŒœŠšŸŽžƒ€]{3}")
 CYRILLIC_RUN = re.compile(r"[Ё-џҐґ─-╿▀-■\xa0-\xbf№]+(?:[\s\d.,!?:;()\"'/+-]*[Ё-џҐґ─-╿▀-■\xa0-\xbf№]+)*")
 HAN_RUN = re.compile(r"[　-鿿-￥㈠-㊣ㄅ-ㄩ�€\xa4-\xf7]*[　-鿿][　-鿿-￥�€\d.,\xa4-\xf7]*")
@@ -120,23 +130,38 @@ def _encode(text: str, codec: str) -> bytes | None:
     return bytes(out)
 
 
+def _possible(text: str) -> list[str]:
+    """The encodings as which UTF-8 in this text may have been read, by the characters it has."""
+    have = set(text)
+    return [x for x in READ_AS if not have.isdisjoint(LEADS[x]) and not have.isdisjoint(TAILS[x]) and (x not in BOXED or not have.isdisjoint(BOXES)) and UTF8[x].search(text)]
+
+
+def _decoded(codec: str, sequence: str) -> str | None:
+    """What a run of UTF-8 sequences stands for, None if it is no valid or no likely text."""
+    try:
+        new = bytes(BYTES[codec][c] for c in sequence).decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    inner = codec in ("cp1252", "latin-1")  # controls may be the bytes of a further layer
+    return new if all(_plausible(c) or inner and "\x80" <= c < "\xa0" for c in new) else None
+
+
 def _utf8_once(text: str) -> tuple[str, int]:
     """One layer of UTF-8 sequences read as a legacy encoding undone: the text and the number of passages."""
     best, best_gain, best_n = text, 0.0, 0
-    for codec in READ_AS:
+    for codec in _possible(text):
         n, gain = 0, 0.0
         sure = any(len(m.group()) > 4 for m in UTF8[codec].finditer(text))
 
         def undo(m: re.Match[str]) -> str:
             nonlocal n, gain
             old = m.group()
-            try:
-                new = bytes(BYTES[codec][c] for c in old).decode("utf-8")
-            except UnicodeDecodeError:
+            new = _decoded(codec, old)
+            if new is None:
                 return old
             inner = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
             letters = codec in CYRILLIC and all(LETTER.match(c) for c in old) and not re.search("[A-Za-z]", inner)
-            if letters or not all(_plausible(c) or "\x80" <= c < "\xa0" for c in new) or len(new) == 1 and not sure and not _alone(text, m, new, codec):
+            if letters or len(new) == 1 and not sure and not _alone(text, m, new, codec):
                 return old
             n += 1
             gain += len(old) - len(new)
@@ -163,7 +188,14 @@ def _alone(text: str, m: re.Match[str], new: str, codec: str) -> bool:
 def _mostly_utf8(line: str) -> bool:
     """Whether the unusual characters of a line are mostly UTF-8 sequences read as one encoding."""
     high = sum(not ("　" <= c <= "鿿" or c >= "！") for c in HIGH.findall(line))
-    return any(2 * sum(len(m) for m in UTF8[x].findall(line) if not all(LETTER.match(c) for c in m)) > high for x in READ_AS)
+    return any(2 * sum(len(m) for m in UTF8[x].findall(line) if not all(LETTER.match(c) for c in m) and _decoded(x, m)) > high for x in _possible(line))
+
+
+def _unlike_russian(run: str) -> bool:
+    """Whether a run of mostly Cyrillic letters may be no Russian: few common letters or odd capitals."""
+    letters = len(LETTER.findall(run))
+    low = run.lower()
+    return 2 * letters > len(HIGH.findall(run)) and (2 * sum(map(low.count, COMMON)) < 1.1 * letters or re.search("[а-яё][А-ЯЁ]", run) is not None)
 
 
 def _legacy_once(text: str) -> tuple[str, int]:
@@ -190,17 +222,15 @@ def _legacy_once(text: str) -> tuple[str, int]:
         return old
 
     lines = text.split("\n")
-    if LATIN_CORE.search(text):
-        latin = [x for x in LEGACY if x[0] == "cp1252"]
-        for k, line in enumerate(lines):
-            if LATIN_CORE.search(line) and not _mostly_utf8(line):
-                lines[k] = LATIN_RUN.sub(lambda m: best(m.group(), latin, 0.5) if LATIN_CORE.search(m.group()) else m.group(), line)
-    if len(LETTER.findall(text)) >= 8:
-        rest = [x for x in LEGACY if x[0] != "cp1252"]
-        lines = [
-            line if _mostly_utf8(line) else CYRILLIC_RUN.sub(lambda m: best(m.group(), rest, 0.6) if len(m.group()) >= 8 and 2 * len(LETTER.findall(m.group())) > len(HIGH.findall(m.group())) else m.group(), line)
-            for line in lines
-        ]
+    for k, line in enumerate(lines):
+        if LATIN_CORE.search(line) and not _mostly_utf8(line):
+            lines[k] = line = LATIN_RUN.sub(lambda m: best(m.group(), LATIN, 0.5) if LATIN_CORE.search(m.group()) else m.group(), line)
+        if LETTER.search(line):
+            odd = [m.group() for m in CYRILLIC_RUN.finditer(line) if len(m.group()) >= 8 and _unlike_russian(m.group())]
+            if odd and not _mostly_utf8(line):
+                for run in odd:
+                    line = line.replace(run, best(run, REST, 0.6))
+                lines[k] = line
     return "\n".join(lines), n
 
 
@@ -249,7 +279,7 @@ def repair(text: str) -> tuple[str, int, int, bool]:
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         out = [(i, *r) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if (r := repair(t))[1]]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.int32()), pa.array([r[4] for r in out], pa.bool_()), pa.array([r[1] for r in out], pa.string())],
