@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marginalia.llm.terms import sliced
+
 #: The languages, with the codes and names that labels give them.
 LABELS = {
     "en": "en eng english",
@@ -29,13 +31,16 @@ ORDERS = (1, 2, 3, 4)
 BITS = 17
 BUCKETS = 1 << BITS
 
-#: What has no language: fenced and inline code, formulas, comments, tags, links' targets, addresses, paths and encoded data.
+#: What has no language: inline code, formulas, comments, tags, links' targets, addresses and paths.
 INLINE = re.compile(
-    r"""^\s*(?:\{\||\|-|\|\}).*$ | ^\s*\[[^\]\n]+\]:.*$ | ^(?:\s*>)+\s*\[![\w-]+\][+-]? | `+[^`\n]*`+ | \$\$[^$\n]*\$\$ | (?<![\w$])\$[^\s$][^$\n]*\$(?!\w) | \\\([^\n]*?\\\) | \\\[[^\n]*?\\\] | \\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*
-    | <!--.*?--> | </?[A-Za-z][^<>\n]*> | &(?:\#\d+|\#x[0-9a-fA-F]+|[A-Za-z]+); | \]\([^()\n]*\) | \[\[[^\[\]|\n]*\| | \{\{[^{}\n]*\}\} | \w+://\S+ | \S+@\S+\.\w+
-    | \S*[\\/]\S*[\\/]\S* | [A-Za-z0-9+/=_-]{25,} | \b\w*\d\w*\b | \b\w+_\w+\b""",
-    re.VERBOSE | re.MULTILINE,
+    r"""^\s*(?:\{\||\|-|\|\}).*$ | ^\s*\[[^\]\n]+\]:.*$ | ^(?:\s*>)+\s*\[![\w-]+\][+-]? | `+[^`\n]*`+ | \$\$[^$\n]*\$\$ | (?<![\w$])\$[^\s$][^$\n]*\$(?!\w)
+    | \\\([^\n]*?\\\) | \\\[[^\n]*?\\\] | \\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})* | <!--.*?--> | </?[A-Za-z][^<>\n]*> | &(?:\#\d+|\#x[0-9a-fA-F]+|[A-Za-z]+);
+    | \]\([^()\n]*\) | \[\[[^\[\]|\n]*\| | \{\{[^{}\n]*\}\} | (?<!\S)\w+://\S+ | (?<!\S)[\w.+-]+@\S+ | (?<!\S)[\w.:-]*[\\/]\S*[\\/]\S* | \b[^\W_]+_\w+""",
+    re.VERBOSE,
 )
+#: Lines without any of these signs hold nothing of the kind; encoded data is a long run of letters, digits and signs.
+SIGNS = re.compile(r"[`$\\<&\[\]{}|@/_]")
+ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{25,}")
 FENCE = re.compile(r"^\s{0,3}(?:[>*+-]\s+)*(`{3,}|~{3,})")
 HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 WORD = re.compile(r"[^\W\d_\u3400-\u9fff]{2,}")
@@ -75,7 +80,9 @@ def spoken_lines(text: str) -> list[str]:
                 if a >= 0 and end not in line[a + len(start) :]:
                     block, line = end, line[:a]
                     break
-            lines[k] = INLINE.sub(" ", line)
+            if SIGNS.search(line):
+                line = INLINE.sub(" ", line)
+            lines[k] = ENCODED.sub(" ", line)
     return lines
 
 
@@ -196,7 +203,7 @@ def judge(text: str, model: Model, least: int, sure: float) -> list[tuple[int, s
 
 def _run(shared: object, least: int, sure: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "content"):
             out = []
             for i, text, label in zip(*(batch.column(c).to_pylist() for c in ("note_id", "content", "label")), strict=True):
                 out += [(i, label, *r) for r in judge(text, shared.value, least, sure)]
