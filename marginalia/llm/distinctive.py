@@ -25,8 +25,8 @@ def _stream(batch: pa.RecordBatch, least: int) -> tuple[pa.Array, np.ndarray, np
 
 def _record_counts(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms, rows, _ = _stream(batch, least)
+        for part in T.sliced(batches, *FIELDS):
+            terms, rows, _ = _stream(part, least)
             yield from T.counted("all", terms, rows)
 
     return run
@@ -55,7 +55,7 @@ def graph_of_words(codes: np.ndarray, rows: np.ndarray, segments: np.ndarray, wi
 
 def _weights(least: int, window: int, min_tf: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.sliced(batches, *FIELDS):
             terms, rows, segments = _stream(batch, least)
             codes, distinct = T.encode(terms)
             if len(codes):

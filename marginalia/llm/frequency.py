@@ -18,9 +18,9 @@ def notes_once(notes: DataFrame) -> DataFrame:
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from T.counted("content", *T.words(batch.column("content"), 3))
-        yield from T.counted("tags", *T.tags(batch.column("tags")))
+    for part in T.sliced(batches, "content", "tags"):
+        yield from T.counted("content", *T.words(part.column("content"), 3))
+        yield from T.counted("tags", *T.tags(part.column("tags")))
 
 
 def term_frequency(notes: DataFrame, rare_notes: int = 1, common_share: float = 0.2) -> DataFrame:

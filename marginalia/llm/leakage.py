@@ -12,8 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of letters or digits.
-WORD = re.compile(r"[^\W_]+")
+from marginalia.llm.terms import sliced
+
+#: A word is a maximal run of letters or digits; raised, circled and fraction numbers are signs.
+WORD = re.compile(r"[^\W_²³¹¼-¾⁰-₉⅐-⅟①-⒛⓪-⓿❶-➓]+")
 SEED = 4
 MATCH, MISMATCH, GAP = 2, -2, -2
 
@@ -84,7 +86,7 @@ def count_seeds(documents: DataFrame, items: Items) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         vocabulary, counts = pa.array(own.vocabulary, pa.string()), Counter()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             _, seeds = hits(*coded(batch.column("text"), vocabulary), own)
             values, n = np.unique(seeds, return_counts=True)
             counts.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
@@ -139,7 +141,7 @@ def _leaks(shared: object, seeds: np.ndarray) -> Callable[[Iterator[pa.RecordBat
         items = shared.value
         vocabulary = pa.array(items.vocabulary, pa.string())
         wanted = set(seeds.tolist())
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             ids, rows = coded(batch.column("text"), vocabulary)
             begins = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             at, found = hits(ids, rows, items)

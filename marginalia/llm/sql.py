@@ -31,6 +31,22 @@ SQL = {
     "p4_found": FREQUENCY + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_term_frequency": FREQUENCY + "SELECT * FROM marked",
     "p5_found": PAIRS + "SELECT tag_a, tag_b FROM scored WHERE notes_ab * n_notes >= 4 * notes_a * notes_b",
+    "p5_tag_pairs": PAIRS + """SELECT tag_a, tag_b, notes_a, notes_b, notes_ab, n_notes, notes_ab * n_notes / (notes_a * notes_b) AS lift,
+  CASE WHEN notes_a > notes_ab THEN (notes_a / n_notes) * (1 - notes_b / n_notes) / ((notes_a - notes_ab) / n_notes) END AS conviction FROM scored""",
     "p6_found": TERMS + "SELECT note_id, term FROM tf JOIN df USING (term) WHERE k >= 5 AND n <= 3",
+    "p6_term_weights": f"""WITH {NOTES},
+field AS (SELECT note_id, 1 AS f, content AS t FROM notes UNION ALL SELECT note_id, 2, headings FROM notes UNION ALL SELECT note_id, 3, tags FROM notes),
+list AS (SELECT note_id, f, regexp_extract_all(t, '[A-Za-zÀ-ÖØ-öø-ÿ]{{5,}}') AS words FROM field WHERE t IS NOT NULL),
+token AS (SELECT note_id, f, unnest(range(1, length(words) + 1)) AS at, lower(unnest(words)) AS term FROM list),
+near AS (SELECT a.note_id, a.term, b.term AS other FROM token a JOIN token b ON a.note_id = b.note_id AND a.f = b.f AND b.at BETWEEN a.at - 3 AND a.at + 3 AND a.term <> b.term),
+degree AS (SELECT note_id, term, count(DISTINCT other) AS degree FROM near GROUP BY ALL),
+tf AS (SELECT note_id, term, count(*) AS occurrences FROM token GROUP BY ALL),
+df AS (SELECT term, count(*) AS notes FROM tf GROUP BY term)
+SELECT note_id, term, occurrences, coalesce(degree, 0) AS degree, df.notes, coalesce(degree, 0) * ln(((SELECT count(*) FROM notes) + 1) / df.notes) AS score FROM tf JOIN df USING (term) LEFT JOIN degree USING (note_id, term)""",
     "p7_found": LONG.format("indexed_documents") + "\nUNION\n" + LONG.format("semantic_documents"),
+    "p8_found": """WITH doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
+item AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+passage AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS p FROM item, unnest(range(1, length(w) - 10)) AS g(k)),
+span AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS p FROM doc, unnest(range(1, length(w) - 10)) AS g(k))
+SELECT DISTINCT doc_id, item_id FROM span JOIN passage USING (p)""",
 }

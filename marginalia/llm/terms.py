@@ -14,6 +14,28 @@ from pyspark.sql import functions as F
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
+#: Texts are worked on in slices of so many bytes, whatever the size of a batch; a longer text is a slice of its own.
+SLICE = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of rows whose texts have about ``SLICE`` bytes, so that memory has a bound."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        size += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // SLICE
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """All batches in such slices."""
+    for batch in batches:
+        yield from slices(batch, columns)
+
+
 def words(texts: pa.Array, least: int) -> tuple[pa.Array, np.ndarray]:
     """Maximal runs of at least ``least`` letters, lower-cased, with the row each comes from.
 
