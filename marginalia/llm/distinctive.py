@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import terms as T
 from marginalia.llm.frequency import notes_once
+from marginalia.sources.tables import materialize
 
 FIELDS = ("content", "headings", "tags")
 
@@ -32,15 +33,18 @@ def _record_counts(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def graph_of_words(codes: np.ndarray, rows: np.ndarray, segments: np.ndarray, window: int, min_tf: int) -> tuple[np.ndarray, ...]:
+def graph_of_words(codes: np.ndarray, rows: np.ndarray, segments: np.ndarray, window: int, min_tf: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Row, term code, occurrences and degree of each term that occurs ``min_tf`` times in its row.
 
-    The degree is the number of distinct other terms within ``window`` terms on either side, inside
+    ``asked`` says of each code whether its term is wanted. The degree is the number of distinct other terms within ``window`` terms on either side, inside
     one segment.
     """
     width = int(codes.max()) + 1
     keys, at, tf = np.unique(rows * width + codes, return_inverse=True, return_counts=True)
-    wanted = tf[at] >= min_tf
+    take = tf >= min_tf
+    if asked is not None:
+        take &= asked[keys % width]
+    wanted = take[at]
     edges = []
     for k in range(1, window):
         near = (segments[k:] == segments[:-k]) & (codes[k:] != codes[:-k])
@@ -49,21 +53,22 @@ def graph_of_words(codes: np.ndarray, rows: np.ndarray, segments: np.ndarray, wi
             edges.append(at[a][use] * width + codes[b][use])
     distinct = np.unique(np.concatenate(edges)) if edges else np.zeros(0, np.int64)
     degree = np.bincount(distinct // width, minlength=len(keys))
-    take = tf >= min_tf
     return keys[take] // width, keys[take] % width, tf[take], degree[take]
 
 
-def _weights(least: int, window: int, min_tf: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _weights(least: int, window: int, min_tf: int, hot: object = None, keep_hot: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.sliced(batches, *FIELDS):
             terms, rows, segments = _stream(batch, least)
             codes, distinct = T.encode(terms)
             if len(codes):
                 order = np.argsort(segments, kind="stable")
-                row, code, tf, degree = graph_of_words(codes[order], rows[order], segments[order], window, min_tf)
+                counts = np.zeros(len(distinct), np.int64) if hot is None else np.array([hot.value.get(t, 0) for t in distinct.to_pylist()], np.int64)
+                asked = None if hot is None else (counts > 0) == keep_hot
+                row, code, tf, degree = graph_of_words(codes[order], rows[order], segments[order], window, min_tf, asked)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("note_id").take(pa.array(row)), distinct.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(degree, pa.int64())],
-                    ["note_id", "term", "occurrences", "degree"],
+                    [batch.column("note_id").take(pa.array(row)), distinct.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(degree, pa.int64()), pa.array(counts[code])],
+                    ["note_id", "term", "occurrences", "degree", "notes"],
                 )
 
     return run
@@ -77,22 +82,25 @@ def term_weights(notes: DataFrame, least: int = 5, window: int = 4, min_tf: int
     ``notes`` those that have this one. ``min_tf`` and ``max_notes`` keep only terms that occur so
     often in the note, and in so few notes.
 
-    Terms in more than a thousandth of the notes are bounded in number (terms per note times a
-    thousand) and joined by broadcast; the others join by shuffle, where no key can be hot. Null and
-    empty fields give no term; a table without terms gives no rows.
+    Terms in more than a thousandth of the notes, of which there are fewer than a thousand times the
+    terms of an average note, go to the tasks with their counts and need no join; the others join by
+    shuffle, where no key can be hot. Null and empty fields give no term; a table without terms gives
+    no rows.
     """
     once = notes_once(notes.select("note_id", "indexed_at", *FIELDS)).select("note_id", *FIELDS)
     counts = once.mapInArrow(_record_counts(least), T.COUNT_SCHEMA).groupBy("term").agg(F.sum("notes").alias("notes"))
     total = once.count()
-    weights = once.mapInArrow(_weights(least, window, min_tf), "note_id bigint, term string, occurrences bigint, degree bigint")
+    schema = "note_id bigint, term string, occurrences bigint, degree bigint, notes bigint"
     if max_notes is not None:
-        counts = counts.where(F.col("notes") <= max_notes)
-        joined = weights.join(counts, "term")
+        weights = once.mapInArrow(_weights(least, window, min_tf), schema).drop("notes")
+        joined = weights.join(counts.where(F.col("notes") <= max_notes), "term")
     else:
+        counts = materialize(counts)
         limit = max(1, total // 1000)
-        hot = F.broadcast(counts.where(F.col("notes") > limit))
-        cold = counts.where(F.col("notes") <= limit)
-        joined = weights.join(hot, "term").unionByName(weights.join(hot, "term", "left_anti").join(cold, "term"))
+        hot = once.sparkSession.sparkContext.broadcast({r["term"]: r["notes"] for r in counts.where(F.col("notes") > limit).collect()})
+        warm = once.mapInArrow(_weights(least, window, min_tf, hot, True), schema)
+        cold = once.mapInArrow(_weights(least, window, min_tf, hot, False), schema).drop("notes")
+        joined = warm.unionByName(cold.join(counts.where(F.col("notes") <= limit), "term"))
     score = F.col("degree") * F.log((F.lit(total) + 1) / F.col("notes"))
     return joined.select("note_id", "term", "occurrences", "degree", "notes", score.alias("score"))
 
