@@ -16,8 +16,10 @@ were what when where which while who whom why will with would you your yours""".
 STOP_WORDS_ZH = "的 了 和 是 在 也 有 就 不 都 而 及 与 或 我们 你们 他们 因为 所以 但是 而且 如果 以及 这个 那个 没有 一个 已经 可以 以前 以后".split()
 #: Fixed value: the Han characters that make a text Chinese.
 HAN = "一-龥"
-#: Separators: white space, brackets, ``^ = ` ``, and all punctuation but ``! " & ' - _ \``.
-SEPARATORS = r"(?:[\s\p{Z}\x{FEFF}^=\x60\[\]{}()<>]|[\p{P}&&[^!\"&'()\-\[\]\\_{}]])+"
+#: Separators: white space, brackets, ``^ = ` ``, and all punctuation but ``! " & ' - _ \``; Han characters, which are cut apart.
+SEPARATORS = rf"[\s\p{{Z}}\p{{P}}\x{{FEFF}}^=\x60<>{HAN}&&[^!\"&'\-_\\]]+"
+#: What a word with parts has: a hyphen, an underscore, or a capital behind a small letter.
+PARTED = "[-_]|[a-z][A-Z]"
 
 
 def wide_runs(text: Column) -> Column:
@@ -34,8 +36,7 @@ def bigrams(text: Column) -> Column:
 def words(text: Column, stop_words: list[str] | None = None) -> Column:
     """Words of two and more characters between separators, without stop words (case counts)."""
     stop = STOP_WORDS_EN if stop_words is None else stop_words
-    parts = F.split(F.regexp_replace(text, f"[{HAN}]+", " "), SEPARATORS)
-    return F.filter(parts, lambda w: (F.length(w) >= 2) & ~w.isin(*stop) if stop else F.length(w) >= 2)
+    return F.filter(F.split(text, SEPARATORS), lambda w: (F.length(w) >= 2) & ~w.isin(*stop) if stop else F.length(w) >= 2)
 
 
 def subwords(word: Column) -> Column:
@@ -51,8 +52,8 @@ def tokens(text: Column) -> Column:
     aren't checked against the stop words.
     """
     text = F.coalesce(text, F.lit(""))
-    found = words(text)
-    parts = F.flatten(F.transform(F.filter(found, lambda w: F.length(w) > 3), subwords))
+    found = F.array_distinct(words(text))
+    parts = F.flatten(F.transform(F.filter(found, lambda w: (F.length(w) > 3) & w.rlike(PARTED)), subwords))
     return F.filter(F.array_distinct(F.concat(found, parts, bigrams(text))), lambda t: F.length(t) < 30)
 
 
