@@ -64,7 +64,8 @@ LATIN_RUN = re.compile(r"[\x80-\xffŒœŠšŸŽžƒˆ˜–—‘’‚“”„
 #: Fixed value: the ten commonest letters of Russian, which make up over half of any text.
 COMMON = "оеаинтсрвл"
 LATIN_CORE = re.compile(r"[\xa1-\xffŒœŠšŸŽžƒ€]{3}")
-CYRILLIC_RUN = re.compile(r"[Ё-џҐґ─-╿▀-■\xa0-\xbf№]+(?:[\s\d.,!?:;()\"'/+-]*[Ё-џҐґ─-╿▀-■\xa0-\xbf№]+)*")
+#: Runs of Cyrillic and of signs that its bytes show, within a sentence.
+CYRILLIC_RUN = re.compile(r"[Ё-џҐґ─-╿▀-■\xa0-\xbf№]+(?:[\s\d,:;()\"'/+-]*[Ё-џҐґ─-╿▀-■\xa0-\xbf№]+)*")
 HAN_RUN = re.compile(r"[　-鿿-￥㈠-㊣ㄅ-ㄩ�€\xa4-\xf7]*[　-鿿][　-鿿-￥�€\d.,\xa4-\xf7]*")
 
 
