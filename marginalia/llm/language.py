@@ -212,7 +212,7 @@ def _run(shared: object, least: int, sure: float) -> Callable[[Iterator[pa.Recor
     return run
 
 
-def languages(notes: DataFrame, least: int = 3, sure: float = 1.5, per_language: int = 150) -> DataFrame:
+def languages(notes: DataFrame, least: int = 3, sure: float = 3.0, per_language: int = 150) -> DataFrame:
     """``(note_id, label, row_no, lang, confidence)``: each note's language, and its foreign lines'.
 
     ``label`` is the language that the delivered label names, null if none. ``row_no`` is -1 for the
