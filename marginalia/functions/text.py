@@ -45,6 +45,14 @@ def subwords(word: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda p: F.length(p) > 1)
 
 
+def occurrences(text: Column) -> Column:
+    """All tokens of a text as often as they stand in it: words, parts of words that have some, Han pairs."""
+    text = F.coalesce(text, F.lit(""))
+    found = words(text)
+    parts = F.flatten(F.transform(F.filter(found, lambda w: (F.length(w) > 3) & w.rlike(PARTED)), subwords))
+    return F.filter(F.concat(found, parts, bigrams(text)), lambda t: F.length(t) < 30)
+
+
 def tokens(text: Column) -> Column:
     """Distinct tokens of a text as it is indexed and queried; null and empty texts have none.
 

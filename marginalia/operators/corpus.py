@@ -28,10 +28,13 @@ def documents(notes: DataFrame, extensions: tuple[str, ...] = ("md",), excluded:
 
 
 def with_metadata(files: DataFrame, metadata: DataFrame, key: str = "path") -> DataFrame:
-    """Files with the metadata parsed of them; empty text where there is none."""
+    """Files with the metadata parsed of them; empty text where there is none.
+
+    Where both have a column, the metadata's is taken. Null keys have no metadata.
+    """
     columns = [c for c in metadata.columns if c != key]
-    joined = files.join(metadata, key, "left")
-    return joined.select(*files.columns, *(F.coalesce(metadata[c], F.lit("")).alias(c) for c in columns))
+    kept = [c for c in files.columns if c not in columns]
+    return files.select(*kept).join(metadata, key, "left").select(*kept, *(F.coalesce(c, F.lit("")).alias(c) for c in columns))
 
 
 def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:

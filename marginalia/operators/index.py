@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.ranking import BOOSTS
-from marginalia.functions.text import tokens
+from marginalia.functions.text import occurrences, tokens
 
 
 def fields(docs: DataFrame, names: list[str] | None = None, key: str = "note_id") -> DataFrame:
@@ -15,12 +15,18 @@ def fields(docs: DataFrame, names: list[str] | None = None, key: str = "note_id"
     return docs.select(key, F.explode(F.array(*parts)).alias("f")).select(key, "f.field", "f.tokens")
 
 
-def postings(docs: DataFrame, names: list[str] | None = None, key: str = "note_id") -> DataFrame:
+def postings(docs: DataFrame, names: list[str] | None = None, key: str = "note_id", count_all: bool = False) -> DataFrame:
     """``(key, field, term, tf)``: tf is the number of case variants of the term in the field.
 
-    Tokens of a field are distinct before they are lower-cased, so tf doesn't count occurrences.
+    Tokens of a field are distinct before they are lower-cased, so tf doesn't count occurrences,
+    unless ``count_all`` asks for it.
     """
-    rows = fields(docs, names, key).select(key, "field", F.explode("tokens").alias("token"))
+    if count_all:
+        parts = [F.struct(F.lit(n).alias("field"), occurrences(F.col(n)).alias("tokens")) for n in names or BOOSTS]
+        own = docs.select(key, F.inline(F.array(*parts)))
+    else:
+        own = fields(docs, names, key)
+    rows = own.select(key, "field", F.explode("tokens").alias("token"))
     return rows.groupBy(key, "field", F.lower("token").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -94,8 +94,12 @@ def fuzzy_match(text: str, query: str) -> tuple[int, list[int]] | None:
 
 
 def subsequence_pattern(query: str) -> str:
-    """The pattern that a line must match to hold the query's characters in order."""
-    return ("(?ius)" if query == query.lower() else "(?s)") + ".*?".join("\\" + c if not c.isalnum() else c for c in query)
+    """The pattern that a line must match to hold the query's characters in order.
+
+    Each step runs to the next wanted character and never back, so a line is read once.
+    """
+    signs = ("\\" + c if not c.isalnum() else c for c in query)
+    return ("(?ius)^" if query == query.lower() else "(?s)^") + "".join(f"[^{c}]*+{c}" for c in signs)
 
 
 def fuzzy_lines(lines: DataFrame, query: str, limit: int = LINES, keys: tuple[str, ...] = ("note_id", "row_no")) -> DataFrame:

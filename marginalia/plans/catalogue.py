@@ -148,6 +148,7 @@ def queries() -> dict[str, Query]:
         "token_counts": lambda s, d: index.fields(docs_of(s, d), ["content"]).select("note_id", F.size("tokens").cast("bigint").alias("n_tokens")),
         "subword_tokens": lambda s, d: docs_of(s, d).select("note_id", F.explode(text.words(F.col("content"))).alias("w")).where(F.length("w") > 3).select("note_id", "w", F.explode(text.subwords(F.col("w"))).alias("part")).where("part <> w").distinct(),
         "postings_tf": lambda s, d: index.postings(docs_of(s, d)),
+        "postings_occurrences": lambda s, d: index.postings(docs_of(s, d), ["content"], count_all=True),
         "field_lengths": lambda s, d: index.field_lengths(docs_of(s, d)),
         "field_stats": lambda s, d: index.field_stats(docs_of(s, d)).withColumn("average", F.round("average", 6)),
         "doc_freq": lambda s, d: index.document_frequency(docs_of(s, d)),
@@ -301,6 +302,10 @@ SQL = {
     "token_counts": S.CONTENT + " SELECT note_id, count(token) AS n_tokens FROM docs LEFT JOIN tok USING (note_id) GROUP BY ALL",
     "subword_tokens": S.CONTENT + ", p AS (SELECT note_id, w, unnest(string_split(regexp_replace(regexp_replace(w, '[-_]', ' ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), ' ')) AS part FROM kept WHERE length(w) > 3) SELECT DISTINCT note_id, w, part FROM p WHERE length(part) > 1 AND part <> w",
     "postings_tf": S.INDEX + " SELECT note_id, field, term, tf FROM post",
+    "postings_occurrences": S.CONTENT + f""", every AS (SELECT note_id, field, w FROM kept UNION ALL
+  SELECT note_id, field, w FROM (SELECT note_id, field, unnest(string_split(regexp_replace(regexp_replace(w, '[-_]', ' ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), ' ')) AS w FROM kept WHERE length(w) > 3 AND regexp_matches(w, '[-_]|[a-z][A-Z]')) WHERE length(w) > 1 UNION ALL
+  SELECT note_id, field, w FROM pair WHERE w NOT IN ({S._list(text.STOP_WORDS_ZH)}))
+SELECT note_id, field, lower(w) AS term, count(*) AS tf FROM every WHERE length(w) < 30 GROUP BY ALL""",
     "field_lengths": S.INDEX + " SELECT note_id, field, length FROM lens",
     "field_stats": S.INDEX + " SELECT field, count(*) AS documents, round(avg(length), 6) AS average FROM lens GROUP BY field",
     "doc_freq": S.INDEX + " SELECT term, field, count(*) AS df FROM post GROUP BY ALL",
