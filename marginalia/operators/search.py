@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marginalia.functions import query as Q
@@ -41,8 +41,8 @@ def search(docs: DataFrame, raw: str, limit: int = RESULTS, options: Q.Options =
     """``(note_id, path, rank, score, query_terms, matched_terms)`` of the best documents for a query.
 
     The query's commands are parsed and its terms expanded against each document's own tokens, so
-    that only matching terms leave the scan; document frequencies, field lengths and scores are
-    worked out of those. With ``every_term`` a document must match all query terms, else any. Ties
+    that only matching terms leave the scan, which counts documents and field lengths on the way;
+    document frequencies and scores are worked out of those few rows. With ``every_term`` a document must match all query terms, else any. Ties
     go to the smaller note_id. An empty query, or one of stop words alone, has no results.
     """
     parsed = Q.parse(raw, options)
@@ -60,14 +60,17 @@ def search(docs: DataFrame, raw: str, limit: int = RESULTS, options: Q.Options =
             kinds.append(F.struct(term.alias("term"), F.lit(q).alias("query_term"), match_weight(term, q, kind).alias("weight")))
         return F.filter(F.array(*kinds), lambda k: k["weight"].isNotNull())
 
-    rows = fields(docs, list(boosts)).select("note_id", "field", F.size("tokens").alias("length"), F.flatten(F.transform("tokens", matches)).alias("hits"))
-    rows = materialize(rows)
-    stats = rows.groupBy("field").agg(F.avg("length").alias("average"))
-    n = docs.count()
-    hits = rows.where(F.size("hits") > 0).select("note_id", "field", "length", F.inline("hits")).groupBy("note_id", "field", "length", "term", "query_term", "weight").agg(F.count(F.lit(1)).alias("tf"))
+    names = list(boosts)
+    rows = fields(docs, names).select("note_id", "field", F.size("tokens").alias("length"), F.flatten(F.transform("tokens", matches)).alias("hits"))
+    seen = Observation()
+    lengths = [F.avg(F.when(F.col("field") == f, F.col("length"))).alias(f"average_{k}") for k, f in enumerate(names)]
+    watched = rows.observe(seen, F.count(F.when(F.col("field") == names[0], 1)).alias("n"), *lengths)
+    found = materialize(watched.where(F.size("hits") > 0).select("note_id", "field", "length", F.inline("hits")))
+    n, average = seen.get["n"], {f: seen.get[f"average_{k}"] or 1.0 for k, f in enumerate(names)}
+    hits = found.groupBy("note_id", "field", "length", "term", "query_term", "weight").agg(F.count(F.lit(1)).alias("tf"))
     frequency = hits.groupBy("field", "term").agg(F.count_distinct("note_id").alias("df"))
-    scored = hits.join(frequency, ["field", "term"]).join(F.broadcast(stats), "field")
-    part = F.col("weight") * boost(F.col("field"), boosts) * bm25_plus(F.col("tf"), F.col("df"), F.lit(n), F.col("length"), F.col("average"))
+    scored = hits.join(frequency, ["field", "term"])
+    part = F.col("weight") * boost(F.col("field"), boosts) * bm25_plus(F.col("tf"), F.col("df"), F.lit(n), F.col("length"), boost(F.col("field"), average))
     total = scored.groupBy("note_id").agg(F.sum(part).alias("sum"), F.sort_array(F.collect_set("query_term")).alias("q"), F.sort_array(F.collect_set("term")).alias("m"))
     if every_term:
         total = total.where(F.size("q") == len(wanted))
