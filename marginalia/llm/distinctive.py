@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import terms as T
-from marginalia.llm.frequency import notes_once
+from marginalia.operators.corpus import notes_once
 from marginalia.sources.tables import materialize
 
 FIELDS = ("content", "headings", "tags")

@@ -9,12 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import terms as T
-from marginalia.sources.tables import drop_repeats
-
-
-def notes_once(notes: DataFrame) -> DataFrame:
-    """Every note once: repeated rows of a note_id count once, the earliest indexed_at is kept."""
-    return drop_repeats(notes, "note_id", [F.col("indexed_at").asc_nulls_last()])
+from marginalia.operators.corpus import notes_once
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

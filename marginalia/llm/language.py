@@ -164,10 +164,15 @@ def train(notes: DataFrame, per_language: int = 150, rounds: int = 3) -> Model:
     own languages cure that.
     """
     labelled = notes.where(F.length("content") > 100).select("note_id", "content", language_of(F.col("lang")).alias("label")).where("label is not null")
-    first = Window.partitionBy("label").orderBy(F.xxhash64("note_id"))
-    sample = labelled.select("note_id", "label").distinct().withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= per_language).select("note_id", F.col("label").alias("__label"))
-    chosen = {r["note_id"] for r in sample.collect()}
-    rows = labelled.where(F.col("note_id").isin(list(chosen))).dropDuplicates(["note_id"]).select("content", "label").collect()
+    first = Window.partitionBy("label").orderBy(F.xxhash64("note_id"), "note_id")
+    ranked = labelled.where("note_id is not null").select("note_id", "label").withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= 2 * per_language)
+    chosen: dict[str, dict[int, None]] = {}
+    for r in ranked.orderBy("label", "__rank").collect():  # at most twice the bound, as rows may come again
+        own = chosen.setdefault(r["label"], {})
+        if len(own) < per_language:
+            own[r["note_id"]] = None
+    ids = sorted({i for own in chosen.values() for i in own})
+    rows = labelled.where(F.col("note_id").isin(ids)).dropDuplicates(["note_id"]).select("content", "label").collect()
     data = [(r["content"], LANGUAGES.index(r["label"])) for r in rows]
     model = None
     for _ in range(rounds):

@@ -42,13 +42,13 @@ def _whole(text: str, at: int, low: int) -> int:
     return cut if cut > low else at
 
 
-def split_points(text: str, size: int) -> list[tuple[int, int]]:
+def split_points(text: str, size: int, marks: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Cuts that leave stretches of at most ``size``: (position, strength), 0 for a hard cut.
 
     A stretch that is too long is cut at the strongest boundary in its middle half, of equal ones
     at the nearest to the midpoint; else at the strongest in the whole stretch; else in the middle.
     """
-    at, strength = boundaries(text)
+    at, strength = marks or boundaries(text)
     cuts, todo = [], [(0, len(text))]
     while todo:
         a, b = todo.pop()
@@ -77,8 +77,8 @@ def pieces(text: str, limit: int = 4000, overlap: int = 200) -> list[tuple[int,
     """
     if len(text) <= limit:
         return [(0, len(text), 5)]
-    cuts = split_points(text, limit - overlap)
-    at, _ = boundaries(text)
+    marks = boundaries(text)
+    cuts, at = split_points(text, limit - overlap, marks), marks[0]
     ends = [c for c, _ in cuts] + [len(text)]
     out, start = [], 0
     for k, end in enumerate(ends):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.frequency import notes_once
 from marginalia.llm.terms import tag_array
+from marginalia.operators.corpus import notes_once
 from marginalia.sources.tables import materialize
 
 
