@@ -58,6 +58,30 @@ class Store:
         folder = self.current(name)
         return self.spark.read.parquet(f"{self.root}/{folder}") if folder else None
 
+    def add_delta(self, name: str, df: DataFrame, number: int) -> None:
+        """Writes rows beside a table; the same number again replaces them, so a replay changes nothing."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}-deltas/{number:012d}")
+
+    def deltas(self, name: str) -> list[str]:
+        """The folders of a table's finished deltas, oldest first."""
+        home = self._path(f"{self.root}/{name}-deltas")
+        if not self._fs.exists(home):
+            return []
+        folders = [s.getPath() for s in self._fs.listStatus(home)]
+        return sorted(f.toString() for f in folders if self._fs.exists(self._path(f, "_SUCCESS")))
+
+    def load_with_deltas(self, name: str) -> DataFrame | None:
+        """The current snapshot and the deltas written since, unmerged; None if there is neither."""
+        base, parts = self.load(name), self.deltas(name)
+        if not parts:
+            return base
+        new = self.spark.read.parquet(*parts)
+        return new if base is None else base.unionByName(new)
+
+    def drop_deltas(self, folders: list[str]) -> None:
+        for f in folders:
+            self._fs.delete(self._path(f), True)
+
     def drop_stale_versions(self) -> list[str]:
         """Deletes the tables of other versions of this corpus; their names."""
         path = self._path(self.home)

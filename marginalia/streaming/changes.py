@@ -54,15 +54,34 @@ def merge_state(state: DataFrame | None, ops: DataFrame) -> DataFrame:
     return latest(rows, ["vault", "path"], "op_time", "op_id")
 
 
-def start(changes: DataFrame, store: Store, checkpoint: str, name: str = "net_changes", once: bool = False) -> StreamingQuery:
+def state(store: Store, name: str = "net_changes") -> DataFrame | None:
+    """The last operation of each path as stored: the snapshot with the deltas merged in."""
+    rows = store.load_with_deltas(name)
+    return None if rows is None else latest(rows, ["vault", "path"], "op_time", "op_id")
+
+
+def compact(store: Store, name: str = "net_changes") -> None:
+    """Merges the deltas into a new snapshot and drops them; harmless if it is broken off and run again."""
+    parts = store.deltas(name)
+    merged = state(store, name)
+    if parts and merged is not None:
+        store.save(name, merged)
+        store.drop_deltas(parts)
+
+
+def start(changes: DataFrame, store: Store, checkpoint: str, name: str = "net_changes", once: bool = False, compact_every: int = 20) -> StreamingQuery:
     """Applies the stream to the stored net changes, a micro-batch at a time.
 
-    The pending changes of a batch are coalesced by path, merged with the state and saved as a new
-    snapshot; the trigger throttles to one flush in ten seconds.
+    The pending changes of a batch are coalesced by path and written as a delta under the batch's
+    number, so a batch costs what it holds and not what the state holds, and a replayed one replaces
+    itself; every so many batches the deltas are merged into the snapshot. The trigger throttles to
+    one flush in ten seconds.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
-        store.save(name, merge_state(store.load(name), batch))
+    def apply(batch: DataFrame, number: int) -> None:
+        store.add_delta(name, merge_state(None, batch), number)
+        if (number + 1) % compact_every == 0:
+            compact(store, name)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
@@ -73,8 +92,8 @@ def replay(spark: SparkSession, folder: str, work: str) -> DataFrame:
     store = Store(spark, f"{work}/state", "changes")
     query = start(source(spark, folder), store, f"{work}/checkpoint", once=True)
     query.awaitTermination()
-    state = store.load("net_changes")
-    return (merge_state(None, spark.createDataFrame([], CHANGES)) if state is None else state).select("vault", "path", "op", "op_time")
+    last = state(store)
+    return (merge_state(None, spark.createDataFrame([], CHANGES)) if last is None else last).select("vault", "path", "op", "op_time")
 
 
 def counts_by_window(changes: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from marginalia.operators.maintain import net_change
+from marginalia.sources.snapshots import Store
 from marginalia.streaming import changes
 
 
@@ -36,6 +37,24 @@ def test_replay_equals_batch(spark, tmp_path):
     assert {r["path"]: r["op"] for r in streamed.collect()} == {"p": "delete", "q": "add"}
 
 
+def test_deltas_merge_and_replays_change_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path), "c")
+    assert changes.state(store) is None
+    batches = [ops(spark, [(1, "p", "add", 1, 1), (2, "q", "add", 1, 1)]), ops(spark, [(3, "p", "del", 2, 2)]), ops(spark, [(4, "q", "del", 1, 9)])]
+    for k, b in enumerate(batches[:2]):
+        store.add_delta("net_changes", changes.merge_state(None, b), k)
+    store.add_delta("net_changes", changes.merge_state(None, batches[1]), 1)
+    key = lambda: {r["path"]: r["op"] for r in changes.state(store).collect()}
+    assert len(store.deltas("net_changes")) == 2 and key() == {"p": "delete", "q": "add"}
+    changes.compact(store)
+    assert store.deltas("net_changes") == [] and key() == {"p": "delete", "q": "add"}
+    store.add_delta("net_changes", changes.merge_state(None, batches[2]), 2)
+    assert key() == {"p": "delete", "q": "delete"}
+    changes.compact(store)
+    changes.compact(store)
+    assert key() == {"p": "delete", "q": "delete"}
+
+
 def test_windows(spark, tmp_path):
     ops(spark, [(1, "p", "add", 1, 1), (2, "q", "del", 1, 1), (3, "p", "add", 9, 9)]).write.parquet(str(tmp_path / "change_ops.parquet"))
     stream = changes.counts_by_window(changes.source(spark, str(tmp_path)))
