@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import query as Q
-from marginalia.operators import corpus, maintain, search, semantic, snippets
+from marginalia.operators import corpus, maintain, search, semantic
+from marginalia.operators import snippets as hit_snippets
+from marginalia.sources import snapshots
 from marginalia.sources.snapshots import Settings, Store, save_index
+from marginalia.sources.tables import materialize
 from marginalia.streaming import changes
 
 
@@ -34,8 +37,8 @@ class NoteSearch:
             raise ValueError("no store was given")
         if self.store.load("postings") is None:
             self.reindex()
-        saved = self.store.load("documents")
-        hits = search.search_index(self.store.load("postings"), self.store.load("lengths"), raw, saved.count(), self.settings.results, self.options)
+        saved = snapshots.live(self.store, "documents")
+        hits = search.search_index(self.store.load_with_deltas("postings"), snapshots.live(self.store, "lengths"), raw, saved.count(), self.settings.results, self.options, alive=lambda rows: snapshots.alive(self.store, rows))
         return hits.join(saved.select("note_id", "path"), "note_id").select("note_id", "path", "score").orderBy(F.desc("score"), "note_id")
 
     def hits_in(self, note_id: int, raw: str, matched: list[str], k: int = 30) -> DataFrame:
@@ -43,11 +46,11 @@ class NoteSearch:
         text = Q.parse(raw, self.options).text
         terms = Q.maximal_terms(Q.terms(text), matched)
         one = self.documents.where(F.col("note_id") == note_id)
-        return snippets.snippets(one, corpus.split_lines(one, "note_id", "content"), terms, text, k)
+        return hit_snippets.snippets(one, corpus.split_lines(one, "note_id", "content"), terms, text, k)
 
     def search_in_file(self, note_id: int, text: str) -> DataFrame:
         """The lines of one note that match a query as a subsequence, with their contexts."""
-        return snippets.search_in_file(self.documents, note_id, text, self.settings.results)
+        return hit_snippets.search_in_file(self.documents, note_id, text, self.settings.results)
 
     def nearest(self, vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
         """The vectors nearest to that of a query."""
@@ -69,27 +72,23 @@ class NoteSearch:
         return maintain.diff(self.current_files(), refs if refs is not None else self.current_files().limit(0))
 
     def refresh(self) -> int:
-        """Applies pending changes to the saved index: only the postings of changed notes are made anew.
+        """Applies pending changes to the saved index, at the cost of the changed notes.
 
-        Deletes go before adds, and the references are saved with the tables. Gives the number of
-        changed paths.
+        The references are saved last, so a refresh that was broken off is made again. Gives the
+        number of changed paths.
         """
         if self.store is None or self.store.load("postings") is None:
             self.reindex()
             return self.documents.count()
-        from marginalia.operators.index import field_lengths, postings
-        from marginalia.sources.snapshots import bucket_of
-        from marginalia.sources.tables import materialize
-
         ops = materialize(self.pending_changes())
-        saved = self.store.load("documents")
-        gone = materialize(saved.join(ops.select("path").distinct(), "path", "left_semi").select("note_id"))
-        new = self.documents.join(ops.where("op = 'add'").select("path").distinct(), "path", "left_semi")
-        for name, rows in (("postings", postings(new).withColumn("bucket", bucket_of(F.col("term")))), ("lengths", field_lengths(new)), ("documents", new.select("note_id", "path", "tags"))):
-            kept = self.store.load(name).join(gone, "note_id", "left_anti")
-            self.store.save(name, kept.unionByName(rows.select(kept.columns)), ["bucket"] if name == "postings" else None)
-        self.store.save("refs_lexical", self.current_files())
-        return ops.select("path").distinct().count()
+        changed = ops.select("path").distinct()
+        n = changed.count()
+        if n:
+            gone = snapshots.live(self.store, "documents").join(changed, "path", "left_semi").select("note_id").distinct()
+            new = self.documents.join(ops.where("op = 'add'").select("path").distinct(), "path", "left_semi")
+            snapshots.refresh_index(self.store, materialize(gone), new)
+            self.store.save("refs_lexical", self.current_files())
+        return n
 
     def follow(self, folder: str, checkpoint: str, once: bool = False):
         """Starts the stream that keeps the net changes of a feed in the store."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -86,10 +88,10 @@ def ranked(top: DataFrame) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(order)).select("note_id", "path", "rank", "score", "query_terms", "matched_terms")
 
 
-def search_index(postings: DataFrame, lengths: DataFrame, raw: str, n_docs: int, limit: int = RESULTS, options: Q.Options = Q.Options(), every_term: bool = True) -> DataFrame:
+def search_index(postings: DataFrame, lengths: DataFrame, raw: str, n_docs: int, limit: int = RESULTS, options: Q.Options = Q.Options(), every_term: bool = True, alive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(note_id, score)``: the same ranking on saved index tables, whose scan the terms prune.
 
-    ``postings`` has ``(note_id, field, term, tf)``, ``lengths`` ``(note_id, field, length)``.
+    ``alive`` takes dead rows out of the few postings that match. ``postings`` has ``(note_id, field, term, tf)``, ``lengths`` ``(note_id, field, length)``.
     """
     parsed = Q.parse(raw, options)
     wanted = Q.terms(parsed.text)
@@ -97,9 +99,11 @@ def search_index(postings: DataFrame, lengths: DataFrame, raw: str, n_docs: int,
         return postings.sparkSession.createDataFrame([], "note_id bigint, score double")
     kinds = [F.struct(F.lit(q).alias("query_term"), match_weight(F.col("term"), q, match_kind(F.col("term"), q, parsed.options.prefix, parsed.options.fuzzy)).alias("weight")) for q in wanted]
     hits = postings.select("*", F.inline(F.filter(F.array(*kinds), lambda k: k["weight"].isNotNull())))
+    hits = alive(hits) if alive else hits
     frequency = hits.groupBy("field", "term").agg(F.count_distinct("note_id").alias("df"))
     stats = lengths.groupBy("field").agg(F.avg("length").alias("average"))
-    scored = hits.join(lengths, ["note_id", "field"]).join(frequency, ["field", "term"]).join(F.broadcast(stats), "field")
+    hits = hits.select("note_id", "field", "term", "tf", "query_term", "weight")
+    scored = hits.join(lengths.select("note_id", "field", "length"), ["note_id", "field"]).join(frequency, ["field", "term"]).join(F.broadcast(stats), "field")
     part = F.col("weight") * boost(F.col("field"), BOOSTS) * bm25_plus(F.col("tf"), F.col("df"), F.lit(n_docs), F.col("length"), F.col("average"))
     total = scored.groupBy("note_id").agg(F.sum(part).alias("sum"), F.count_distinct("query_term").alias("q"))
     if every_term:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from typing import Any
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import tokens
-from marginalia.operators.index import postings
+from marginalia.operators.index import field_lengths, postings
 
 VERSION = 2
 
@@ -34,9 +35,13 @@ class Store:
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}.current"
 
-    def save(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        """Writes a table as a new snapshot and makes it the current one."""
-        folder = f"{name}-{time.time_ns()}"
+    def save(self, name: str, df: DataFrame, partition_by: list[str] | None = None, merged: int = -1) -> None:
+        """Writes a table as a new snapshot and makes it the current one.
+
+        ``merged`` is the number of the last delta that it holds; the swap of the pointer also makes
+        those deltas count no more, even if their removal is broken off.
+        """
+        folder = f"{name}-{time.time_ns()}-{merged}"
         writer = df.write.mode("errorifexists")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{folder}")
         before = self.current(name)
@@ -63,12 +68,14 @@ class Store:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}-deltas/{number:012d}")
 
     def deltas(self, name: str) -> list[str]:
-        """The folders of a table's finished deltas, oldest first."""
+        """The folders of a table's finished deltas that its snapshot doesn't hold, oldest first."""
+        folder = self.current(name)
+        merged = int(re.search(r"-(-?\d+)$", folder).group(1)) if folder else -1
         home = self._path(f"{self.root}/{name}-deltas")
         if not self._fs.exists(home):
             return []
         folders = [s.getPath() for s in self._fs.listStatus(home)]
-        return sorted(f.toString() for f in folders if self._fs.exists(self._path(f, "_SUCCESS")))
+        return sorted(f.toString() for f in folders if int(f.getName()) > merged and self._fs.exists(self._path(f, "_SUCCESS")))
 
     def load_with_deltas(self, name: str) -> DataFrame | None:
         """The current snapshot and the deltas written since, unmerged; None if there is neither."""
@@ -100,16 +107,76 @@ def bucket_of(term) -> Any:
     return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(64))
 
 
+#: The tables of an index; ``gone`` has the notes that a refresh took out, with its number.
+TABLES = {"postings": ["bucket"], "lengths": None, "documents": None}
+
+
+def index_rows(docs: DataFrame, number: int) -> dict[str, DataFrame]:
+    """The rows of all index tables of some documents, made by the refresh of that number."""
+    found = postings(docs).withColumn("bucket", bucket_of(F.col("term")))
+    rows = {"postings": found, "lengths": field_lengths(docs), "documents": docs.select("note_id", "path", "tags")}
+    return {name: df.withColumn("made", F.lit(number)) for name, df in rows.items()}
+
+
 def save_index(store: Store, docs: DataFrame, refs: DataFrame) -> None:
     """Builds all index tables of the documents anew, with the references that they stand for."""
-    store.save("postings", postings(docs).withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("note_id"), F.lit(8))), ["bucket"])
-    from marginalia.operators.index import field_lengths
-
-    store.save("lengths", field_lengths(docs))
-    store.save("documents", docs.select("note_id", "path", "tags"))
+    last = last_delta(store)
+    for name, df in index_rows(docs, last).items():
+        if name == "postings":
+            df = df.repartition("bucket", F.pmod(F.xxhash64("note_id"), F.lit(8)))
+        store.save(name, df, TABLES[name], last)
+    store.save("gone", docs.sparkSession.createDataFrame([], "note_id bigint, made int"), merged=last)
     store.save("refs_lexical", refs)
 
 
+def last_delta(store: Store) -> int:
+    """The number of the last refresh, 0 if there was none."""
+    folder = store.current("gone")
+    merged = int(re.search(r"-(-?\d+)$", folder).group(1)) if folder else 0
+    return max([merged, 0, *(int(d.rstrip("/").rpartition("/")[2]) for d in store.deltas("gone"))])
+
+
+def refresh_index(store: Store, gone: DataFrame, new: DataFrame, compact_every: int = 20) -> None:
+    """Takes notes out of the index and puts new ones in, at the cost of these alone.
+
+    The new rows are written as deltas and the notes taken out beside them; rows of such a note made
+    before are dead. Every so many refreshes all is merged into new snapshots. The list of notes
+    taken out is written last: a refresh broken off before changes nothing and is made anew under the
+    same number.
+    """
+    number = last_delta(store) + 1
+    for name, df in index_rows(new, number).items():
+        store.add_delta(name, df, number)
+    store.add_delta("gone", gone.select("note_id", F.lit(number).alias("made")), number)
+    if number % compact_every == 0:
+        compact_index(store)
+
+
+def compact_index(store: Store) -> None:
+    """Merges all deltas into new snapshots without the dead rows."""
+    number = last_delta(store)
+    parts = [d for name in [*TABLES, "gone"] for d in store.deltas(name)]
+    for name, partition_by in TABLES.items():
+        rows = live(store, name)
+        if name == "postings":
+            rows = rows.repartition("bucket", F.pmod(F.xxhash64("note_id"), F.lit(8)))
+        store.save(name, rows, partition_by, number)
+    store.save("gone", store.load_with_deltas("gone").limit(0), merged=number)
+    store.drop_deltas(parts)
+
+
+def alive(store: Store, rows: DataFrame) -> DataFrame:
+    """The rows of notes that weren't taken out after they were made, and of no unfinished refresh."""
+    out = store.load_with_deltas("gone").groupBy("note_id").agg(F.max("made").alias("__out"))
+    kept = rows.where(F.col("made") <= last_delta(store)).join(out, "note_id", "left")
+    return kept.where(F.col("__out").isNull() | (F.col("made") >= F.col("__out"))).drop("__out")
+
+
+def live(store: Store, name: str) -> DataFrame:
+    """A table of the index as it stands."""
+    return alive(store, store.load_with_deltas(name))
+
+
 def token_count(df: DataFrame, text: str = "content") -> DataFrame:
     """``(documents, tokens)`` of a column of texts."""
     return df.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.size(tokens(F.col(text)))), F.lit(0)).alias("tokens"))

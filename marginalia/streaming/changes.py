@@ -65,7 +65,7 @@ def compact(store: Store, name: str = "net_changes") -> None:
     parts = store.deltas(name)
     merged = state(store, name)
     if parts and merged is not None:
-        store.save(name, merged)
+        store.save(name, merged, merged=int(parts[-1].rstrip("/").rpartition("/")[2]))
         store.drop_deltas(parts)
 
 
