@@ -119,11 +119,14 @@ def index_rows(docs: DataFrame, number: int) -> dict[str, DataFrame]:
 
 
 def save_index(store: Store, docs: DataFrame, refs: DataFrame) -> None:
-    """Builds all index tables of the documents anew, with the references that they stand for."""
+    """Builds all index tables of the documents anew, with the references that they stand for.
+
+    The postings are rebalanced by bucket: a small bucket is one file, a large one is split.
+    """
     last = last_delta(store)
     for name, df in index_rows(docs, last).items():
         if name == "postings":
-            df = df.repartition("bucket", F.pmod(F.xxhash64("note_id"), F.lit(8)))
+            df = df.hint("rebalance", "bucket")
         store.save(name, df, TABLES[name], last)
     store.save("gone", docs.sparkSession.createDataFrame([], "note_id bigint, made int"), merged=last)
     store.save("refs_lexical", refs)
@@ -159,7 +162,7 @@ def compact_index(store: Store) -> None:
     for name, partition_by in TABLES.items():
         rows = live(store, name)
         if name == "postings":
-            rows = rows.repartition("bucket", F.pmod(F.xxhash64("note_id"), F.lit(8)))
+            rows = rows.hint("rebalance", "bucket")
         store.save(name, rows, partition_by, number)
     store.save("gone", store.load_with_deltas("gone").limit(0), merged=number)
     store.drop_deltas(parts)
