@@ -1,4 +1,4 @@
-"""p8: evaluation texts inside training documents, by rare seeds and local alignment."""
+"""p8: evaluation texts inside training documents, by rare seeds, a bound on common pairs of words and local alignment."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ from marginalia.llm.terms import sliced
 WORD = re.compile(r"[^\W_²³¹¼-¾⁰-₉⅐-⅟①-⒛⓪-⓿❶-➓]+")
 SEED = 4
 MATCH, MISMATCH, GAP = 2, -2, -2
+#: Numbers that the bound and the alignments hold at a time.
+AT_ONCE = 1 << 21
 
 
 def words(text: str | None) -> list[str]:
@@ -44,6 +46,60 @@ class Items:
         self.where = dict(where)
         self.grams = np.array(sorted(where), dtype=np.int64)
 
+    def groups(self, share: float) -> list[Shared]:
+        """The items that have a seed, by length: of one group, the longest has under four times the words of the shortest."""
+        by: dict[int, list[int]] = defaultdict(list)
+        for k, t in enumerate(self.words):
+            if len(t) >= SEED:
+                by[(len(t).bit_length() - 1) // 2].append(k)
+        return [Shared(by[c], self.words, share) for c in sorted(by)]
+
+
+class Shared:
+    """Items of like length by their pairs of neighbouring words; the k-th use of a pair in a text is a pair of its own.
+
+    An alignment that reaches ``share`` of an item of n words has M matches and E others with
+    2M - 2E >= 2 * share * n. The matches form at most E + 1 runs, so at least M - E - 1 >=
+    share * n - 1 pairs are common, and it spans at most M + E <= (2 - share) * n words of the
+    document. Of ``width`` words or fewer, any stretch stands whole in one of the pieces of twice
+    that width that begin every ``width`` words.
+    """
+
+    def __init__(self, members: list[int], words: list[np.ndarray], share: float):
+        self.members = np.array(members, np.int64)
+        lengths = np.array([len(words[k]) for k in members], np.int64)
+        self.least = np.ceil(share * lengths - 1e-9).astype(np.int64) * MATCH
+        self.needed = self.least // MATCH - 1
+        self.width = int(np.ceil((2 - share) * lengths.max()))
+        flat, item = np.concatenate([words[k] for k in members]), np.repeat(np.arange(len(members)), lengths)
+        self.padded = np.full((len(members), int(lengths.max())), -2, np.int32)
+        self.padded[item, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+        inside = item[:-1] == item[1:]
+        first, second, item = flat[:-1][inside], flat[1:][inside], item[:-1][inside]
+        self.base = int(flat.max()) + 1
+        self.pairs = np.unique(first * self.base + second)
+        keys = numbered(np.searchsorted(self.pairs, first * self.base + second), item)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.firsts, self.sizes = np.unique(keys[order], return_index=True, return_counts=True)
+        self.items = item[order]
+
+    def pairs_of(self, ids: np.ndarray) -> np.ndarray:
+        """For each word but the last, the number of the pair with the next word; -1 if no item has it."""
+        pair = np.where((ids[:-1] >= 0) & (ids[1:] >= 0) & (ids[1:] < self.base), ids[:-1] * self.base + ids[1:], -1)
+        slot = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[slot] == pair, slot, -1)
+
+
+def numbered(ids: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """A number for each word or pair that also tells which use in its group it is."""
+    order = np.lexsort((ids, groups))
+    i, g = ids[order], groups[order]
+    begins = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (g[1:] != g[:-1])])) if len(i) else np.zeros(0, np.int64)
+    use = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
+    out = np.empty(len(i), np.int64)
+    out[order] = use << 32 | i
+    return out
+
 
 def grams(ids: np.ndarray, base: int) -> np.ndarray:
     """A number for each run of ``SEED`` word ids; -1 where a word is in no item."""
@@ -99,7 +155,8 @@ def count_seeds(documents: DataFrame, items: Items) -> dict[int, int]:
 def rare_seeds(items: Items, counts: dict[int, int], least: int) -> np.ndarray:
     """The seeds to search for: the rarest of every window of ``least`` words, of equal ones the last.
 
-    So every passage of ``least`` words of an item holds one of its chosen seeds.
+    So every passage of ``least`` words of an item holds one of its chosen seeds. Edited copies may
+    hold none, as what an edit made of a window is rarer than the item's own words; see ``edited``.
     """
     chosen: set[int] = set()
     for t in items.words:
@@ -136,35 +193,79 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return int(score), end, longest
 
 
-def _leaks(shared: object, seeds: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def align_all(items: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """The scores of ``align`` for rows of items (filled up with -2) and of passages (with -1)."""
+    previous = np.zeros((len(items), passages.shape[1] + 1), np.int32)
+    slope = -GAP * np.arange(passages.shape[1] + 1, dtype=np.int32)
+    score = np.zeros(len(items), np.int32)
+    for w in items.T:
+        now = np.zeros_like(previous)
+        np.maximum(previous[:, :-1] + np.where(passages == w[:, None], np.int32(MATCH), np.int32(MISMATCH)), previous[:, 1:] + np.int32(GAP), out=now[:, 1:])
+        np.maximum(now, 0, out=now)
+        now += slope
+        np.maximum.accumulate(now, axis=1, out=now)
+        now -= slope
+        np.maximum(score, now.max(axis=1), out=score)
+        previous = now
+    return score
+
+
+def edited(ids: np.ndarray, begins: np.ndarray, group: Shared, share: float) -> set[tuple[int, int]]:
+    """``(row, item)`` of all alignments that reach ``share``: pieces that hold enough pairs of words of an item are aligned."""
+    lengths = np.diff(begins)
+    pieces = np.maximum(1, -(-lengths // group.width) - 1)
+    row = np.repeat(np.arange(len(lengths)), pieces)
+    start = begins[row] + (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * group.width
+    size = np.minimum(start + 2 * group.width, begins[row + 1]) - start
+    pairs = group.pairs_of(ids)
+    spots = np.flatnonzero(pairs >= 0)
+    lo = np.searchsorted(spots, start)
+    hi = np.maximum(lo, np.searchsorted(spots, start + size - 1))
+    piece = np.repeat(np.arange(len(row)), hi - lo)
+    at = spots[np.arange(len(piece)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[piece]]
+    keys = numbered(pairs[at], piece)
+    slot = np.minimum(np.searchsorted(group.keys, keys), len(group.keys) - 1)
+    same = group.keys[slot] == keys
+    slot, piece = slot[same], piece[same]
+    held, n = np.bincount(piece, weights=group.sizes[slot], minlength=len(row)), len(group.members)
+    part = (np.cumsum(held + n) // AT_ONCE).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(row)]
+    out: set[tuple[int, int]] = set()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        lo, hi = np.searchsorted(piece, [a, b])
+        sizes = group.sizes[slot[lo:hi]]
+        which = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(group.firsts[slot[lo:hi]], sizes)
+        shared = np.bincount((np.repeat(piece[lo:hi], sizes) - a) * n + group.items[which], minlength=(b - a) * n).reshape(b - a, n)
+        p, k = np.nonzero(shared >= group.needed)
+        step = max(1, AT_ONCE // 16 // (2 * group.width + 1))
+        for c in range(0, len(p), step):
+            q, i = p[c : c + step] + a, k[c : c + step]
+            spots = start[q][:, None] + np.arange(size[q].max())
+            inside = spots < (start[q] + size[q])[:, None]
+            passages = np.where(inside, ids[np.where(inside, spots, 0)], -1)
+            good = align_all(group.padded[i], passages) >= group.least[i]
+            out.update(zip(row[q[good]].tolist(), group.members[i[good]].tolist(), strict=True))
+    return out
+
+
+def _leaks(shared: object, seeds: np.ndarray, least: int, min_share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         vocabulary = pa.array(items.vocabulary, pa.string())
-        wanted = set(seeds.tolist())
+        wanted, groups = set(seeds.tolist()), items.groups(min_share) if min_share <= 1 else []
         for batch in sliced(batches, "text"):
             ids, rows = coded(batch.column("text"), vocabulary)
             begins = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             at, found = hits(ids, rows, items)
-            spots: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for p, s in zip(at.tolist(), found.tolist(), strict=True):
-                if s in wanted:
-                    for k, offset in items.where[s]:
-                        spots[int(rows[p]), k].append(p - offset)
+            pairs = {(int(rows[p]), k) for p, s in zip(at.tolist(), found.tolist(), strict=True) if s in wanted for k, _ in items.where[s]}
+            for group in groups:
+                pairs |= edited(ids, begins, group, min_share)
             out = []
-            for (row, k), starts in spots.items():
-                item, best = items.words[k], (0, 0, 0)
-                a, b = int(begins[row]), int(begins[row + 1])
-                pad, low, high = len(item) // 2 + SEED, None, None
-                for s in [*sorted(set(starts)), None]:
-                    if s is not None and high is not None and s - pad <= high:
-                        high = max(high, s + len(item) + pad)
-                        continue
-                    if high is not None:
-                        score, _, longest = align(item, ids[max(a, low) : min(b, high)])
-                        best = (max(best[0], score), max(best[1], longest), 0)
-                    if s is not None:
-                        low, high = s - pad, s + len(item) + pad
-                out.append((batch.column("doc_id")[row].as_py(), items.ids[k], len(item), best[0], best[1]))
+            for row, k in sorted(pairs):
+                item = items.words[k]
+                score, _, longest = align(item, ids[begins[row] : begins[row + 1]])
+                if longest >= least or score >= min_share * MATCH * len(item) and (longest >= SEED or len(item) >= least):
+                    out.append((batch.column("doc_id")[row].as_py(), items.ids[k], len(item), score, longest))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
                 ["doc_id", "item_id", "item_words", "score", "longest_run"],
@@ -176,11 +277,12 @@ def _leaks(shared: object, seeds: np.ndarray) -> Callable[[Iterator[pa.RecordBat
 def leaks(documents: DataFrame, eval_items: DataFrame, least: int = 12, min_share: float = 0.5, block: int = 20_000) -> DataFrame:
     """``(doc_id, item_id, item_words, score, longest_run, share)`` of documents that hold an item.
 
-    Word n-grams of the items are counted over the corpus; of every window of ``least`` item words
-    the rarest n-gram becomes a seed, and documents with a seed are aligned to the item by
-    Smith-Waterman around the seeds. A pair comes out if it shares ``least`` consecutive words, or
-    if the best alignment reaches ``min_share`` of the score of the whole item, as edited copies do.
-    A copy edited in every stretch of ``least`` words may hold no seed.
+    A pair comes out if it shares ``least`` consecutive words, or if its best alignment (Smith-
+    Waterman) reaches ``min_share`` of the score of the whole item, as edited copies do; an item of
+    fewer than ``least`` words must share a seed as well. No such pair is missed: for the first, of
+    every window of ``least`` item words the n-gram rarest in the corpus is a seed; for the second,
+    every piece of a document that holds as many of an item's pairs of words as such an alignment
+    needs is aligned. ``score`` and ``longest_run`` are those of the whole document.
 
     The items are a stated query set, taken in blocks of ``block`` items, each searched in all
     documents and small enough to send to every task. Nothing but counts and results leaves the
@@ -196,7 +298,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, least: int = 12, min_shar
         held = Items([(r["item_id"], r["text"]) for r in rows])
         seeds = rare_seeds(held, count_seeds(own, held), least)
         shared = own.sparkSession.sparkContext.broadcast(held)
-        part = own.mapInArrow(_leaks(shared, seeds), "doc_id bigint, item_id bigint, item_words int, score int, longest_run int")
+        part = own.mapInArrow(_leaks(shared, seeds, least, min_share), "doc_id bigint, item_id bigint, item_words int, score int, longest_run int")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return own.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, item_words int, score int, longest_run int, share double")
@@ -205,5 +307,5 @@ def leaks(documents: DataFrame, eval_items: DataFrame, least: int = 12, min_shar
 
 
 def found(documents: DataFrame, eval_items: DataFrame, least: int = 12) -> DataFrame:
-    """p8_found: documents with at least 12 consecutive words of an item."""
-    return leaks(documents, eval_items, least).where(F.col("longest_run") >= least).select("doc_id", "item_id")
+    """p8_found: documents with at least 12 consecutive words of an item; no share is asked for, as none is over 1."""
+    return leaks(documents, eval_items, least, min_share=2).where(F.col("longest_run") >= least).select("doc_id", "item_id")

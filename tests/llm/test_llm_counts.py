@@ -194,6 +194,33 @@ def brute_smith_waterman(a, b):
     return best
 
 
+def test_leaks_of_edited_copies(spark):
+    rng = random.Random(9)
+    make = lambda n: ["".join(rng.choices("abcdefgh", k=4)) for _ in range(n)]
+    items = [(i, make(40)) for i in range(7)] + [(8, make(18)), (9, make(150)), (10, make(3))]
+    documents = [(1000, make(30) + items[0][1] + make(30)), (1001, ["..."]), (1002, make(900))]
+    for i, own in items[:-1]:
+        for every in range(4, 13):
+            edited = [w if (k + 1) % every else rng.choice(["zz", "zz zz", own[0]]) for k, w in enumerate(own)]
+            documents.append((i * 20 + every, make(rng.choice([0, 5, 300])) + edited + make(rng.choice([0, 40]))))
+    few = ["a", "b", "c", "d", "e", "f"]
+    items += [(20 + i, rng.choices(few, k=rng.randrange(12, 30))) for i in range(6)]
+    documents += [(2000 + d, rng.choices(few, k=rng.randrange(80))) for d in range(30)]
+    want = set()
+    for i, own in items:
+        for d, text in documents:
+            number = {w: k for k, w in enumerate(own)}
+            text = [number.get(w, -1) for w in " ".join(text).split()]
+            score, _, longest = leakage.align(np.array([number[w] for w in own]), np.array(text, dtype=np.int64))
+            if longest >= 12 or score >= len(own) and len(own) >= 12:
+                want.add((d, i, score, longest))
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in documents], "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string")
+    got = set(rows(leakage.leaks(d, i).select("doc_id", "item_id", "score", "longest_run")))
+    assert got == want
+    assert {(n * 20 + every, n) for n in range(7) for every in range(6, 12)} <= {r[:2] for r in got}
+
+
 def test_alignment_against_brute_force():
     rng = random.Random(1)
     for _ in range(60):
