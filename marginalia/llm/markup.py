@@ -553,18 +553,52 @@ def found(notes: DataFrame) -> DataFrame:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, "text"):
-        blocks = [None if t is None else Reader().read(t.replace("\n", " "))[0] for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("note_id"), batch.column("row_no"), pa.array([b and b.text for b in blocks], pa.string()), pa.array([b and b.kind for b in blocks], pa.string())],
+    """Lines sorted by note and row: one reader for each note, kept from batch to batch.
+
+    The last line waits for the next, which may make it a heading, so memory holds one slice and
+    that line with its repeated rows, however long a note is.
+    """
+    reader, place, line, rows = Reader(), None, None, []
+
+    def cleaned_rows(part: list[tuple[int | None, int | None, bool, Block]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([n for n, _, _, _ in part], pa.int64()), pa.array([r for _, r, _, _ in part], pa.int32()),
+                pa.array([b.text if there else None for _, _, there, b in part], pa.string()), pa.array([b.kind if there else None for _, _, there, b in part], pa.string()),
+            ],
             ["note_id", "row_no", "clean", "kind"],
-        )
+        )
+
+    for batch in sliced(batches, "text"):
+        for n, r, t in zip(*(batch.column(c).to_pylist() for c in ("note_id", "row_no", "text")), strict=True):
+            if n is None or r is None:
+                rows.append((n, r, t is not None, Reader().read((t or "").replace("\n", " "))[0]))
+                continue
+            if place is None or place[0] != n:
+                reader = Reader()
+            if place != (n, r) or line != t:
+                block = Block(r)
+                reader.line((t or "").replace("\n", " ").rstrip("\r"), block)
+                reader.blocks = [block]
+            place, line = (n, r), t
+            rows.append((n, r, t is not None, reader.blocks[-1]))
+        last = reader.blocks[-1] if reader.blocks else None
+        done = len(rows)
+        while done and rows[done - 1][3] is last:
+            done -= 1
+        yield cleaned_rows(rows[:done])
+        rows = rows[done:]
+    yield cleaned_rows(rows)
 
 
 def cleaned_lines(lines: DataFrame) -> DataFrame:
-    """``(note_id, row_no, clean, kind)``: each line of the lines' table on its own, without its note.
+    """``(note_id, row_no, clean, kind)``: each line of the lines' table, read in its note's order.
 
-    What only the lines around it tell (that it stands in a code block or table) isn't seen; null
-    lines stay null. One row per row of the table.
+    So lines inside code, comments, formulas and tables are known as such, as in ``cleaned``. Null
+    lines count as blank ones and stay null. One row per row of the table: a repeated row of a line
+    comes out as the line does, another text under the same number is read after it. A line without
+    note or number is read on its own. The lines are shuffled by note and sorted, as a line may be
+    out of place; a note is read as a stream, so its length has no limit.
     """
-    return lines.select("note_id", "row_no", "text").mapInArrow(_lines, "note_id bigint, row_no int, clean string, kind string")
+    own = lines.select("note_id", "row_no", "text").repartition("note_id").sortWithinPartitions("note_id", "row_no", "text")
+    return own.mapInArrow(_lines, "note_id bigint, row_no int, clean string, kind string")

@@ -98,6 +98,25 @@ def test_clean_lines(spark):
     assert sorted(map(str, (r["clean"] for r in markup.cleaned_lines(df).collect()))) == ["", "None", "a", "a"]
 
 
+def test_clean_lines_keep_their_notes_state(spark):
+    code = "```sh\n# total per folder\ncp <b>a</b> &amp; **x** {{ slot }}\n```\n# Head"
+    other = "<pre>\n**kept** &lt;\n</pre>\n<!-- not\n**this**\n--> after\n\\begin{align}\na_1 &= b \\\\\n\\end{align}\n{| class=x\n! a !! b\n|-\n| **c** || d\n|}\nTitle\n=====\n$$\nx*y*z\n$$\n*end*\r"
+    notes = {1: code, 2: other, 3: "```\n" + "**a**\n" * 3000 + "```\n**b**", 4: "**c**\n\n---"}
+    table = [(n, r, t or None) for n, text in notes.items() for r, t in enumerate(text.split("\n"))]
+    random.Random(2).shuffle(table)
+    table += table[:50] + [(None, 1, "**d**"), (1, None, "```")]
+    df = spark.createDataFrame(table, "note_id bigint, row_no int, text string").repartition(3)
+    want = {(n, b.row): (b.text, b.kind) for n, text in notes.items() for b in markup.Reader().read(text)} | {(None, 1): ("d", "paragraph"), (1, None): ("```", "fence")}
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = markup.cleaned_lines(df).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(map(str, ((r["note_id"], r["row_no"]) for r in got))) == sorted(map(str, (t[:2] for t in table)))
+        null = {t[:2] for t in table if t[2] is None}
+        assert all((r["clean"], r["kind"]) == ((None, None) if (r["note_id"], r["row_no"]) in null else want[r["note_id"], r["row_no"]]) for r in got)
+    assert want[1, 1] == ("# total per folder", "code") and want[1, 2][0] == "cp <b>a</b> &amp; **x** {{ slot }}" and want[1, 4][1] == "heading"
+
+
 def disguise(text, rng):
     spaces = "\u00a0\u2007\u2009\u202f"
     twins = {v: k for k, v in lookalikes.PROTOTYPES.items() if v.isalpha()}
