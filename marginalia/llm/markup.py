@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.entities import html5
@@ -37,16 +38,15 @@ SECTIONS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsecti
 #: LaTeX accent signs and the combining marks that they set.
 ACCENTS = {"'": "́", "`": "̀", "^": "̂", '"': "̈", "~": "̃", "=": "̄", ".": "̇", "c": "̧", "v": "̌", "u": "̆", "H": "̋", "r": "̊", "k": "̨"}
 
-#: A span of inline markup is at most 5,000 characters long; signs farther apart are no pair.
 SPECIAL = re.compile(r"[<&*_`~=|\[\]{}$\\#%>]|''|^\s*(?:[-+]|\d{1,9}[.)])(?:\s|$)|^\s*-{2,}\s*$|^\s*(?:-\s*){3,}$")
 FENCE = re.compile(r"^((?:\s*>)*\s*(?:[-*+]\s+|\d{1,9}[.)]\s+)?)(`{3,}(?=[^`]*$)|~{3,})(.*)$")
 TAG = re.compile(r"""<\s*(/?)\s*([A-Za-z][\w:-]*)((?:\s+[A-Za-z_:@][\w:.-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?)*)\s*(/?)>""")
 OPAQUE = re.compile(r"<\s*(pre|script|style|code|textarea|xmp|samp|kbd|tt)(?:\s[^<>]*)?>", re.IGNORECASE)
 DOCTYPE = re.compile(r"<(?:!DOCTYPE|\?xml)\b[^<>]*>", re.IGNORECASE)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|([A-Za-z][A-Za-z0-9]{1,31}))(?:;|(?![A-Za-z0-9]))")
-CODE = re.compile(r"(?<![`\\])(`+)(?!`)(.{0,5000}?)(?<!`)\1(?!`)")
+#: What opens and closes a span of inline markup, whatever its length; an end is the same sign as the start.
+CODE = re.compile(r"(?<![`\\])`+"), re.compile(r"`+")
 PATH = re.compile(r"(?<![A-Za-z])[A-Za-z]:\\[^\s]*|\\\\[\w.-]+\\[^\s]+")
-DISPLAY = re.compile(r"\$\$(.{1,5000}?)\$\$|\\\[(.{1,5000}?)\\\]")
 INLINE_MATH = re.compile(r"(?<![\\$\w])\$(?=[^\s$\d]|\d[^$]*[\\^_=+])((?:[^$\\]|\\.)*?[^\s$\\]|[^\s$\\])\$(?![\d$])|\\\((.+?)\\\)")
 VERB = re.compile(r"\\verb\*?([^\sA-Za-z*])(.*?)\1")
 COMMAND = re.compile(r"(?<!\\)\\([A-Za-z]+)(\*?)((?:\[[^\[\]\n]*\])*)((?:\{[^{}\n]*\})*)")
@@ -57,16 +57,15 @@ LATEX_SIGN = re.compile(r"\\([%&,;:!/@ ])|(?<=\s)\\\\(?=\s*(?:\[|$))|\\\\\s*$")
 ESCAPE = re.compile(r"\\([*_#+\-.!~`>|{}<()\[\]$'\"^\\=?])")
 TEMPLATE = re.compile(r"\{\{\{?([^{}]*)\}?\}\}")
 WIKI_LINK = re.compile(r"(!?)\[\[([^\[\]\n]+)\]\]")
-APOSTROPHES = re.compile(r"(?<!')('{5}|'{2,3})(?=[^\s'])(.{1,5000}?)(?<=[^\s'])\1(?!')")
+APOSTROPHES = re.compile(r"(?<!')(?:'{5}|'{2,3})(?=[^\s'])"), re.compile(r"(?<=[^\s'])(?:'{5}|'{2,3})(?!')")
 IMAGE = re.compile(r"!\[([^\[\]]*)\](?:\((?:<[^<>]*>|[^()\s]*(?:\([^()]*\)[^()\s]*)*)(?:\s+(?:\"[^\"]*\"|'[^']*'))?\)|\[[^\[\]]*\])")
 LINK = re.compile(r"\[([^\[\]\n]*)\](?:\(\s*(?:<[^<>]*>|[^()\s]*(?:\([^()]*\)[^()\s]*)*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)|\[[^\[\]\n]*\])")
 FOOTNOTE = re.compile(r"\[\^[^\[\]\s]+\]:?|\^\[[^\[\]]+\]")
 AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+|[\w.+-]+@[\w-]+\.[\w.-]+)>")
 DEFINITION = re.compile(r"^\s{0,3}\[[^\[\]\n]+\]:\s*\S+")
-STARS = re.compile(r"(?<![A-Za-z0-9*\\])(\*{1,3})(?=[^\s*])(.{1,5000}?)(?<=[^\s*\\])\1(?!\*)")
-UNDERS = re.compile(r"(?<![^\W_]|_|\\)(_{1,3})(?=[^\s_])(.{1,5000}?)(?<=[^\s_\\])\1(?![^\W_]|_)")
-MARKS = re.compile(r"(?<![\w~])~~(?=[^\s~])(.{1,5000}?)(?<=[^\s~])~~(?!~)|(?<![A-Za-z0-9=])==(?=[^\s=])(.{1,5000}?)(?<=[^\s=])==(?![=A-Za-z0-9])")
-COMMENT = re.compile(r"%%(.{0,5000}?)%%")
+STARS = re.compile(r"(?<![A-Za-z0-9*\\])\*{1,3}(?=[^\s*])"), re.compile(r"(?<=[^\s*\\])\*{1,3}(?!\*)")
+UNDERS = re.compile(r"(?<![^\W_]|_|\\)_{1,3}(?=[^\s_])"), re.compile(r"(?<=[^\s_\\])_{1,3}(?![^\W_]|_)")
+MARKS = re.compile(r"(?<![\w~])~~(?=[^\s~])|(?<![A-Za-z0-9=])==(?=[^\s=])"), re.compile(r"(?<=[^\s~])~~(?!~)|(?<=[^\s=])==(?![=A-Za-z0-9])")
 HEADING = re.compile(r"^\s{0,3}(#{1,6})(?:\s+(.*?))?(?:\s+#+)?\s*$")
 WIKI_HEADING = re.compile(r"^\s*(={1,6})(?!=)\s*(\S.*?)\s*(?<!=)\1\s*$")
 LIST = re.compile(r"^(\s*)([-*+]|\d{1,9}[.)])\s+(?:(\[[ xX/>!?-]\])\s+)?(.*)$")
@@ -77,6 +76,41 @@ UNDERLINE = re.compile(r"^\s{0,3}(?:=+|-+)\s*$")
 TABLE_RULE = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
 
 
+def spans(line: str, signs: tuple[re.Pattern[str], re.Pattern[str]], put: Callable[[str], str]) -> str:
+    """The line with what stands between each start and the next end of the same sign put otherwise, in one scan."""
+    ends: dict[str, list[int]] = {}
+    for m in signs[1].finditer(line):
+        ends.setdefault(m.group(), []).append(m.start())
+    out, at = [], 0
+    for m in signs[0].finditer(line):
+        own = ends.get(m.group(), [])
+        k = bisect_right(own, m.end())
+        if m.start() >= at and k < len(own):
+            out += [line[at : m.start()], put(line[m.end() : own[k]])]
+            at = own[k] + len(m.group())
+    return "".join(out) + line[at:]
+
+
+def stretches(line: str, signs: tuple[tuple[str, str], ...], least: int, put: Callable[[str], str]) -> str:
+    """The line with each stretch from a start to its next end, signs and all, put otherwise, in one scan.
+
+    At least ``least`` characters stand between. A start without end leaves none to later ones.
+    """
+    out, at = [], 0
+    nexts = {s: line.find(s[0]) for s in signs}
+    while nexts := {s: a if a >= at else line.find(s[0], at) for s, a in nexts.items() if a >= 0}:
+        sign, a = min(nexts.items(), key=lambda x: x[1] if x[1] >= 0 else len(line))
+        if a < 0:
+            break
+        end = line.find(sign[1], a + len(sign[0]) + least)
+        if end < 0:
+            del nexts[sign]
+            continue
+        out += [line[at:a], put(line[a : end + len(sign[1])])]
+        at = end + len(sign[1])
+    return "".join(out) + line[at:]
+
+
 @dataclass
 class Block:
     """One line of a note: what it is, its plain text, and what markup stood on it."""
@@ -250,7 +284,7 @@ class Reader:
             return text
 
         if "`" in line:
-            line = CODE.sub(lambda m: keep(note("markdown", m.group(2).strip() if m.group(2).strip() else m.group(2))), line)
+            line = spans(line, CODE, lambda t: keep(note("markdown", t.strip() or t)))
         if "\\" in line:
             line = PATH.sub(lambda m: keep(m.group()), line)
             line = VERB.sub(lambda m: keep(note("latex", m.group(2))), line)
@@ -282,23 +316,23 @@ class Reader:
             line = LINK.sub(lambda m: note("markdown", m.group(1), True) if m.group(1).strip() else m.group(), line)
         if "''" in line:
             for _ in range(3):
-                line = APOSTROPHES.sub(lambda m: note("wiki", m.group(2)), line)
+                line = spans(line, APOSTROPHES, lambda t: note("wiki", t))
         if "\\" in line:
             line = ESCAPE.sub(lambda m: keep(note("markdown", m.group(1))), line)
             if line.endswith("\\") and len(line) > 1:
                 line = note("markdown", line[:-1])
         if "%%" in line:
-            line = COMMENT.sub(lambda m: note("markdown", ""), line)
+            line = stretches(line, (("%%", "%%"),), 0, lambda t: note("markdown", ""))
             at = line.find("%%")
             if at >= 0 and not self.inside:
                 note("markdown", "")
                 self.open("hidden", "%%")
                 line = line[:at]
         if "~~" in line or "==" in line:
-            line = MARKS.sub(lambda m: note("markdown", m.group(1) or m.group(2)), line)
+            line = spans(line, MARKS, lambda t: note("markdown", t))
         if "*" in line or "_" in line:
             for _ in range(3):
-                new = UNDERS.sub(lambda m: note("markdown", m.group(2)), STARS.sub(lambda m: note("markdown", m.group(2)), line))
+                new = spans(spans(line, STARS, lambda t: note("markdown", t)), UNDERS, lambda t: note("markdown", t))
                 if new == line:
                     break
                 line = new
@@ -317,28 +351,29 @@ class Reader:
             line = line[:at]
         line = DOCTYPE.sub(lambda m: note("html", ""), line)
         line = AUTOLINK.sub(lambda m: note("markdown", m.group(1), True), line)
-        for _ in range(20):
-            m = OPAQUE.search(line)
-            if not m:
-                break
+        out, at, unclosed = [], 0, set()
+        while m := OPAQUE.search(line, at):
             note("html", "")
             name = m.group(1).lower()
-            close = re.search(rf"<\s*/\s*{name}\s*>", line[m.end() :], re.IGNORECASE)
+            close = None if name in unclosed else re.compile(rf"<\s*/\s*{name}\s*>", re.IGNORECASE).search(line, m.end())
+            out.append(line[at : m.start()])
+            at = m.end()
             if close:
-                inner = line[m.end() : m.end() + close.start()]
-                line = line[: m.start()] + ("" if name in ("script", "style") else keep(TAG.sub("", inner) if name == "pre" else inner)) + line[m.end() + close.end() :]
+                inner, at = line[m.end() : close.start()], close.end()
+                out.append("" if name in ("script", "style") else keep(TAG.sub("", inner) if name == "pre" else inner))
                 if name == "pre":
                     b.kind = "code"
             elif name in ("code", "samp", "kbd", "tt"):
-                line = line[: m.start()] + line[m.end() :]
+                unclosed.add(name)
             else:
-                rest = re.sub(r"<\s*code[^<>]*>", "", line[m.end() :])
-                line = line[: m.start()] + (keep(rest) if name in ("pre", "xmp", "textarea") else "")
+                rest, at = re.sub(r"<\s*code[^<>]*>", "", line[m.end() :]), len(line)
+                out.append(keep(rest) if name in ("pre", "xmp", "textarea") else "")
                 if name in ("pre", "xmp"):
                     b.kind = "code" if rest.strip() else "fence"
-                    line = line if rest.strip() else line + keep("```")
+                    if not rest.strip():
+                        out.append(keep("```"))
                 self.open("pre" if name in ("pre", "xmp", "textarea") else "comment", rf"(?:<\s*/\s*code\s*>)?\s*<\s*/\s*{name}\s*>")
-                break
+        line = "".join(out) + line[at:]
 
         def tag(m: re.Match[str]) -> str:
             name = m.group(2).lower()
@@ -369,7 +404,7 @@ class Reader:
         def formula(m: re.Match[str]) -> str:
             return keep(note("latex", m.group()))
 
-        line = DISPLAY.sub(formula, line)
+        line = stretches(line, (("$$", "$$"), ("\\[", "\\]")), 1, lambda t: keep(note("latex", t)))
         for start, end in (("$$", r"\$\$"), ("\\[", r"\\\]")):
             at = line.find(start)
             if at >= 0 and not self.inside and (start == "$$" or not line[at + 2 :].strip() or not line[:at].strip()) and (start == "$$" or "\\]" not in line):

@@ -117,6 +117,16 @@ def test_clean_lines_keep_their_notes_state(spark):
     assert want[1, 1] == ("# total per folder", "code") and want[1, 2][0] == "cp <b>a</b> &amp; **x** {{ slot }}" and want[1, 4][1] == "heading"
 
 
+def test_spans_have_no_bound():
+    long = "word " * 3000 + "word"
+    for start, end, family in (("%%", "%%", "markdown"), ("$$", "$$", "latex"), ("\\[", "\\]", "latex"), ("`", "`", "markdown"), ("**", "**", "markdown"), ("__", "__", "markdown"), ("~~", "~~", "markdown"), ("==", "==", "markdown"), ("\'\'\'", "\'\'\'", "wiki")):
+        text, marks = markup.clean(f"before {start}{long}{end} after\nnext **b**")
+        inner = "" if start == "%%" else start + long + end if family == "latex" else long
+        assert (text, marks) == (f"before {inner} after\nnext b", sorted({(0, family), (1, "markdown")}))
+    text, marks = markup.clean("a <code>**x**</code> " * 50 + "<script>y</script>" * 50 + "`" + "<b>" * 2000 + "`")
+    assert text == "a **x** " * 50 + "<b>" * 2000 and marks == [(0, "html"), (0, "markdown")]
+
+
 def disguise(text, rng):
     spaces = "\u00a0\u2007\u2009\u202f"
     twins = {v: k for k, v in lookalikes.PROTOTYPES.items() if v.isalpha()}
