@@ -1,8 +1,9 @@
 """p1: markup taken out of notes, with headings, lists, code and formulas kept.
 
 A note is read line by line into blocks, the blocks into a tree of sections, and the tree is scored
-as main-content extractors do: paragraphs pass points to their ancestors, discounted by link density,
-and the best container is kept with the siblings that hold up to it.
+as main-content extractors do: paragraphs pass points to their ancestors, discounted by link density.
+A note is all content, so no container is selected: the best score is the bar for parts of mere links,
+which go below it unless they are lists.
 """
 
 from __future__ import annotations
@@ -526,11 +527,11 @@ def best(root: Section) -> Section:
 
 
 def kept(root: Section) -> list[Block]:
-    """The best section, with every part beside and around it that holds up to it.
+    """All parts but blocks of mere links.
 
-    A part stays if it has a fiftieth of the best section's points, or if at most four fifths of its
-    text are labels of links; headings always stay. What goes are blocks of mere links, so that
-    lists, code, formulas and tables aren't lost for scoring low.
+    Headings and lists always stay, so an index of links does. Another part stays if it has a
+    fiftieth of the best section's points, or if at most four fifths of its text are labels of
+    links, so that code, formulas and tables aren't lost for scoring low.
     """
     top, out = best(root).score, []
 
@@ -539,7 +540,7 @@ def kept(root: Section) -> list[Block]:
             if isinstance(c, Section):
                 walk(c)
                 continue
-            if c[0].kind == "heading" or points(c) >= top / 50 or link_density(c) <= 0.8:
+            if c[0].kind in ("heading", "list") or points(c) >= top / 50 or link_density(c) <= 0.8:
                 out.extend(c)
 
     walk(root)

@@ -127,6 +127,13 @@ def test_spans_have_no_bound():
     assert text == "a **x** " * 50 + "<b>" * 2000 and marks == [(0, "html"), (0, "markdown")]
 
 
+def test_lists_of_links_stay():
+    prose = "The kiln is hot, the glass is slow, and the ferry waits. " * 8
+    index = "- [[Kiln]]\n- [[Glass|the glass]]\n- [Ferry](ferry.md)"
+    text, _ = markup.clean(f"# Index\n{prose}\n{index}\n\n## More\n* [[Sand]]\n\n[Home](a.md) [Next](b.md)")
+    assert text == f"# Index\n\n{prose.strip()}\n- Kiln\n- the glass\n- Ferry\n\n## More\n\n- Sand"
+
+
 def disguise(text, rng):
     spaces = "\u00a0\u2007\u2009\u202f"
     twins = {v: k for k, v in lookalikes.PROTOTYPES.items() if v.isalpha()}
