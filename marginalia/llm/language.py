@@ -58,11 +58,13 @@ def language_of(label: Column) -> Column:
 def spoken_lines(text: str) -> list[str]:
     """The lines of a text with all that has no language blanked out; their number stays.
 
-    Full-width letters become ordinary ones and invisible characters go.
+    Full-width letters become ordinary ones and invisible characters go. A sign that opens a block
+    is ordinary text if no later line closes it.
     """
     if not text.isascii():
         text = HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     lines, fence, block = text.split("\n"), "", ""
+    lasts: dict[str, int] = {}
     for k, line in enumerate(lines):
         mark = FENCE.match(line)
         if fence:
@@ -78,8 +80,11 @@ def spoken_lines(text: str) -> list[str]:
             for start, end in (("$$", "$$"), ("\\[", "\\]"), ("\\begin{", "\\end{"), ("<pre", "</pre"), ("<!--", "-->"), ("%%", "%%")):
                 a = line.find(start)
                 if a >= 0 and end not in line[a + len(start) :]:
-                    block, line = end, line[:a]
-                    break
+                    if end not in lasts:  # of lines yet to be read, so none is blanked already
+                        lasts[end] = next((n for n in range(len(lines) - 1, k, -1) if end in lines[n]), -1)
+                    if lasts[end] > k:
+                        block, line = end, line[:a]
+                        break
             if SIGNS.search(line):
                 line = INLINE.sub(" ", line)
             lines[k] = ENCODED.sub(" ", line)

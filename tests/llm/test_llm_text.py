@@ -134,6 +134,15 @@ def test_lists_of_links_stay():
     assert text == f"# Index\n\n{prose.strip()}\n- Kiln\n- the glass\n- Ferry\n\n## More\n\n- Sand"
 
 
+@pytest.mark.parametrize("sign", ["$$", "\\[", "%%", "<pre", "<!--", "\\begin{"])
+def test_signs_without_an_end_are_text(sign):
+    lines = language.spoken_lines(f"one {sign} two\nthree\nfour")
+    assert lines[0].startswith("one") and lines[1:] == ["three", "four"]
+    end = {"$$": "$$", "\\[": "\\]", "%%": "%%", "<pre": "</pre", "<!--": "-->", "\\begin{": "\\end{"}[sign]
+    assert language.spoken_lines(f"one {sign} two\nthree\n{end}\nfour\nfive {sign} six\nseven")[1:4] == ["", "", "four"]
+    assert language.spoken_lines(f"one {sign} two\nthree\n{end}\nfour\nfive {sign} six\nseven")[5] == "seven"
+
+
 def disguise(text, rng):
     spaces = "\u00a0\u2007\u2009\u202f"
     twins = {v: k for k, v in lookalikes.PROTOTYPES.items() if v.isalpha()}
