@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,6 +26,27 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, key: str = "vec_i
     return usable.select(key, F.round(similarity, 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int = 1000) -> DataFrame:
+    """``(query_id, key, similarity)`` of the ``k`` vectors nearest to each query, as ``top_k`` gives them for one.
+
+    The queries are a stated set, sent to the tasks in blocks of about ``block``; each partition keeps its
+    ``k`` best of a query before anything is shuffled.
+    """
+    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
+    own = vectors.select(key, F.col(vector).alias("__own"), norm.alias("__norm")).where("__norm > 0")
+    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__query"), norm.alias("__query_norm")).where("__query_norm > 0")
+    blocks = max(1, -(-asked.count() // block))
+    similarity = F.round(dot(F.col("__own"), F.col("__query")) / (F.col("__norm") * F.col("__query_norm")), 6)
+    first = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
+    out = None
+    for n in range(blocks):
+        some = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n))
+        pairs = own.join(some, F.size("__own") == F.size("__query")).select("query_id", key, similarity.alias("similarity"))
+        part = pairs.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= k).drop("__rank")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def semantic_documents(df: DataFrame) -> DataFrame:
     """``(path, view_type, content)`` for a semantic index, each path and text once."""
     return df.select("path", "view_type", "content").distinct()

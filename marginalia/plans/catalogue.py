@@ -100,6 +100,11 @@ def _first_vector(spark: SparkSession, d: str) -> DataFrame:
     return semantic.top_k(vectors, vectors.where("vec_id = 0").first()["embedding"], 10)
 
 
+def _every_hundredth_vector(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return semantic.top_k_each(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def _last_query(spark: SparkSession, d: str) -> DataFrame:
     return maintain.last_query(table(spark, d, "events").select("event_id", F.col("props").alias("query")), "event_id")
 
@@ -214,6 +219,7 @@ def queries() -> dict[str, Query]:
         "last_query": _last_query,
         # vectors
         "semantic_topk": _first_vector,
+        "semantic_topk_each": _every_hundredth_vector,
     }
 
 

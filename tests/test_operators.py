@@ -195,6 +195,14 @@ def test_cosine(spark):
     assert semantic.top_k(df, [0.0, 0.0]).count() == 0
 
 
+def test_nearest_of_each_query(spark):
+    df = spark.createDataFrame([(n, [float(n % 7 - 3), float(n % 5), 1.0]) for n in range(60)] + [(60, None), (61, [0.0] * 3), (62, [1.0])], "vec_id int, embedding array<float>")
+    asked = df.where("vec_id % 10 = 0 or vec_id = 61")
+    want = sorted((q["vec_id"], *r) for q in asked.collect() if q["embedding"] for r in semantic.top_k(df, q["embedding"], 4).collect())
+    for block in (1000, 2):
+        assert sorted(tuple(r) for r in semantic.top_k_each(df, asked, 4, block=block).collect()) == want
+
+
 def test_files(spark, tmp_path):
     from marginalia.sources.files import list_files, read_files, stop_words
 
