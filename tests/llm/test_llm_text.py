@@ -297,4 +297,4 @@ def test_garbled_tables(spark):
 @given(st.text(alphabet="abé àÇ½В»»Г—“”—\u00a0Ðñж©ß，的", max_size=25))
 def test_repair_never_fails(text):
     new, passages, layers, whole = garbling.repair(text)
-    assert isinstance(new, str) and whole and (passages == 0) == (new == text)
+    assert isinstance(new, str) and (passages == 0) <= (new == text) and (not whole or (passages == 0) == (new == text))
