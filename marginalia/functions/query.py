@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import HAN, STOP_WORDS_EN, STOP_WORDS_ZH
+from marginalia.functions.text import DEFAULT, HAN, Analysis
 
 
 @dataclass(frozen=True)
@@ -74,19 +74,19 @@ def _separator(c: str) -> bool:
     return c.isspace() or c == "﻿" or c in "^=`[]{}()<>" or unicodedata.category(c)[0] in "ZP" and c not in "!\"&'-_\\"
 
 
-def tokens(text: str) -> list[str]:
+def tokens(text: str, analysis: Analysis = DEFAULT) -> list[str]:
     """The tokens of a query, the same as the Column expression gives, in order."""
     blank = "".join(" " if _separator(c) else c for c in re.sub(f"[{HAN}]+", " ", text))
-    found = [w for w in blank.split(" ") if len(w) >= 2 and w not in STOP_WORDS_EN]
+    found = [w for w in blank.split(" ") if len(w) >= 2 and w not in analysis.stop_words_en]
     parts = [p for w in found if len(w) > 3 for p in re.sub("([a-z])(?=[A-Z])", r"\1 ", re.sub("[-_]", " ", w)).split(" ") if len(p) > 1]
     runs = re.findall(f"[{HAN}]+", text)
-    pairs = [p for r in runs for p in ([r] if len(r) == 1 else [r[i : i + 2] for i in range(len(r) - 1)]) if p not in STOP_WORDS_ZH]
+    pairs = [p for r in runs for p in ([r] if len(r) == 1 else [r[i : i + 2] for i in range(len(r) - 1)]) if p not in analysis.stop_words_zh]
     return [t for t in dict.fromkeys(found + parts + pairs) if len(t) < 30]
 
 
-def terms(text: str) -> list[str]:
-    """The distinct tokens of a query in lower case."""
-    return list(dict.fromkeys(t.lower() for t in tokens(text)))
+def terms(text: str, analysis: Analysis = DEFAULT) -> list[str]:
+    """The distinct tokens of a query, in lower case unless case counts."""
+    return list(dict.fromkeys(t if analysis.case_sensitive else t.lower() for t in tokens(text, analysis)))
 
 
 def maximal_terms(query: list[str], matched: list[str]) -> list[str]:
@@ -117,3 +117,8 @@ def maximal(query: Column, matched: Column) -> Column:
 def move_cursor(at: int, step: int, n: int) -> int:
     """A place in a list of ``n`` results, moved and held inside it."""
     return max(0, min(n - 1, at + step))
+
+
+def cursor(at: Column, step: int, n: Column) -> Column:
+    """The same for columns."""
+    return F.greatest(F.lit(0), F.least(n - 1, at + step))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import zlib
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,18 +24,38 @@ SEPARATORS = rf"[\s\p{{Z}}\p{{P}}\x{{FEFF}}^=\x60<>{HAN}&&[^!\"&'\-_\\]]+"
 PARTED = "[-_]|[a-z][A-Z]"
 
 
+@dataclass(frozen=True)
+class Analysis:
+    """How texts become terms: whether case counts, and which stop words go; the same for index and query."""
+
+    case_sensitive: bool = False
+    stop_words_en: tuple[str, ...] = tuple(STOP_WORDS_EN)
+    stop_words_zh: tuple[str, ...] = tuple(STOP_WORDS_ZH)
+
+    def term(self, token: Column | str) -> Column:
+        """A token as the term that it is indexed by."""
+        return F.col(token) if self.case_sensitive and isinstance(token, str) else token if self.case_sensitive else F.lower(token)
+
+    def key(self) -> str:
+        """A name that differs wherever the terms may."""
+        return f"{'exact' if self.case_sensitive else 'folded'}-{zlib.crc32(repr((sorted(self.stop_words_en), sorted(self.stop_words_zh))).encode()):08x}"
+
+
+DEFAULT = Analysis()
+
+
 def wide_runs(text: Column) -> Column:
     """The maximal runs of Han characters."""
     return F.regexp_extract_all(text, F.lit(f"([{HAN}]+)"), 1)
 
 
-def bigrams(text: Column) -> Column:
+def bigrams(text: Column, stop_words: list[str] | tuple[str, ...] = STOP_WORDS_ZH) -> Column:
     """Overlapping pairs of the Han runs, a lone character by itself: segmentation without a dictionary."""
     pairs = F.transform(wide_runs(text), lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))))
-    return F.filter(F.flatten(pairs), lambda t: ~t.isin(*STOP_WORDS_ZH))
+    return F.filter(F.flatten(pairs), lambda t: ~t.isin(*stop_words)) if stop_words else F.flatten(pairs)
 
 
-def words(text: Column, stop_words: list[str] | None = None) -> Column:
+def words(text: Column, stop_words: list[str] | tuple[str, ...] | None = None) -> Column:
     """Words of two and more characters between separators, without stop words (case counts)."""
     stop = STOP_WORDS_EN if stop_words is None else stop_words
     return F.filter(F.split(text, SEPARATORS), lambda w: (F.length(w) >= 2) & ~w.isin(*stop) if stop else F.length(w) >= 2)
@@ -45,29 +67,29 @@ def subwords(word: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda p: F.length(p) > 1)
 
 
-def occurrences(text: Column) -> Column:
+def occurrences(text: Column, analysis: Analysis = DEFAULT) -> Column:
     """All tokens of a text as often as they stand in it: words, parts of words that have some, Han pairs."""
     text = F.coalesce(text, F.lit(""))
-    found = words(text)
+    found = words(text, analysis.stop_words_en)
     parts = F.flatten(F.transform(F.filter(found, lambda w: (F.length(w) > 3) & w.rlike(PARTED)), subwords))
-    return F.filter(F.concat(found, parts, bigrams(text)), lambda t: F.length(t) < 30)
+    return F.filter(F.concat(found, parts, bigrams(text, analysis.stop_words_zh)), lambda t: F.length(t) < 30)
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, analysis: Analysis = DEFAULT) -> Column:
     """Distinct tokens of a text as it is indexed and queried; null and empty texts have none.
 
     Words, the parts of words over three characters, and Han pairs, all under 30 characters. Parts
     aren't checked against the stop words.
     """
     text = F.coalesce(text, F.lit(""))
-    found = F.array_distinct(words(text))
+    found = F.array_distinct(words(text, analysis.stop_words_en))
     parts = F.flatten(F.transform(F.filter(found, lambda w: (F.length(w) > 3) & w.rlike(PARTED)), subwords))
-    return F.filter(F.array_distinct(F.concat(found, parts, bigrams(text))), lambda t: F.length(t) < 30)
+    return F.filter(F.array_distinct(F.concat(found, parts, bigrams(text, analysis.stop_words_zh))), lambda t: F.length(t) < 30)
 
 
-def terms(text: Column) -> Column:
-    """The tokens in lower case, as many as there are case variants."""
-    return F.transform(tokens(text), F.lower)
+def terms(text: Column, analysis: Analysis = DEFAULT) -> Column:
+    """The tokens as terms, in lower case unless case counts: as many as there are case variants."""
+    return F.transform(tokens(text, analysis), analysis.term)
 
 
 def wide_count(text: Column) -> Column:

@@ -13,7 +13,7 @@ COLUMNS = ("note_id", "vault", "path", "basename", "folder", "aliases", "tags",
 
 def notes_once(notes: DataFrame) -> DataFrame:
     """Each note once, by note_id; of repeated rows the one indexed first."""
-    return drop_repeats(notes, "note_id", [F.col("indexed_at").asc_nulls_last()])
+    return drop_repeats(notes, "note_id", [F.col("indexed_at")])
 
 
 def documents(notes: DataFrame, extensions: tuple[str, ...] = ("md",), excluded: list[str] | None = None, ignored: list[str] | None = None) -> DataFrame:

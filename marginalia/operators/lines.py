@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,55 +42,83 @@ def top_lines(lines: DataFrame, terms: list[str], key: str = "note_id", k: int =
     return matching_lines(lines, terms, prefix).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def fuzzy_match(text: str, query: str) -> tuple[int, list[int]] | None:
-    """The best alignment of a query as a subsequence of a text: its score and the columns.
+#: Numbers of lines times columns that fuzzy matching holds at a time.
+AT_ONCE = 1 << 20
+LOW = -(10**9)
+
+
+def fuzzy_matches(texts: list[str], query: str) -> list[tuple[int, list[int]] | None]:
+    """The best alignment of a query as a subsequence of each text: its score and the columns.
 
     Sixteen for each character, more at the start of a word, after a separator or at a capital; one
-    that follows the one before at once gets at least what the first of its run got; less for gaps. Case counts only if the query has
-    capitals. None if the query is no subsequence.
+    that follows the one before at once gets at least what the first of its run got; less for gaps.
+    Case counts only if the query has capitals. None if the query is no subsequence.
+
+    Texts of like length are worked on together, a vector step for each character of the query; the
+    penalties of gaps are settled by a running maximum.
     """
     if not query:
-        return 0, []
-    fold = query == query.lower()
-    hay = [c.lower() for c in text] if fold else list(text)
-    if len(hay) != len(text):
-        return None
-    n = len(text)
-    bonus = [0] * n
-    for i, c in enumerate(text):
-        p = text[i - 1] if i else " "
-        bonus[i] = 8 if not p.isalnum() and c.isalnum() else 7 if (p.islower() and c.isupper()) or (not p.isdigit() and c.isdigit()) else 0
-    low = -(10**9)
-    best, chunk, back = [low] * n, [0] * n, []
+        return [(0, []) for _ in texts]
+    out: list[tuple[int, list[int]] | None] = [None] * len(texts)
+    order = sorted((k for k, t in enumerate(texts) if t), key=lambda k: len(texts[k]))
+    while order:
+        part: list[int] = []
+        while order and (not part or len(texts[order[-1]]) * (len(part) + 1) <= max(AT_ONCE, len(texts[part[0]]))):
+            part.append(order.pop())
+        for k, found in zip(part, _aligned([texts[k] for k in part], query), strict=True):
+            out[k] = found
+    return out
+
+
+def _aligned(texts: list[str], query: str) -> list[tuple[int, list[int]] | None]:
+    rows, n = len(texts), max(map(len, texts))
+    lengths = np.array([len(t) for t in texts])
+    row = np.repeat(np.arange(rows), lengths)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    distinct, code = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    signs = [chr(c) for c in distinct.tolist()]
+    lowered = [c.lower() if query == query.lower() else c for c in signs]
+    hay, bonus = np.zeros((rows, n), np.int64), np.zeros((rows, n), np.int64)
+    hay[row, place] = np.array([ord(c) if len(c) == 1 else -1 for c in lowered])[code]
+    alnum, lower, upper, digit = (np.array([kind(c) for c in signs])[code] for kind in (str.isalnum, str.islower, str.isupper, str.isdigit))
+    before = [np.concatenate([[False], x[:-1]]) & (place > 0) for x in (alnum, lower, digit)]
+    bonus[row, place] = np.where(alnum & ~before[0], 8, np.where(before[1] & upper | digit & ~before[2], 7, 0))
+    at = np.arange(n)
+    best, chunk, links = np.full((rows, n), LOW), np.zeros((rows, n), np.int64), []
     for q, want in enumerate(query):
-        now, links, first, run, at = [low] * n, [-1] * n, [0] * n, low, -1
-        for i in range(n):
-            if run > low:
-                run -= 1
-            if i >= 2 and q and best[i - 2] > low and best[i - 2] - 3 > run:
-                run, at = best[i - 2] - 3, i - 2
-            if hay[i] != want:
-                continue
-            own = 16 + bonus[i] * (2 if q == 0 else 1)
-            if q == 0:
-                now[i], first[i] = own, bonus[i]
-                continue
-            direct = best[i - 1] + 16 + max(bonus[i], chunk[i - 1], 4) if i and best[i - 1] > low else low
-            if direct >= run + own and direct > low:
-                now[i], links[i], first[i] = direct, i - 1, max(bonus[i], chunk[i - 1])
-            elif run > low:
-                now[i], links[i], first[i] = run + own, at, bonus[i]
-        best, chunk = now, first
-        back.append(links)
-    score = max(best, default=low)
-    if score <= low:
-        return None
-    i = best.index(score)
-    columns = []
-    for links in reversed(back):
-        columns.append(i)
-        i = links[i]
-    return score, columns[::-1]
+        same = hay == ord(want)
+        if q == 0:
+            best, chunk = np.where(same, 16 + 2 * bonus, LOW), np.where(same, bonus, 0)
+            links.append(np.full((rows, n), -1))
+            continue
+        reach = np.where(best > LOW, best + at, LOW)
+        top = np.maximum.accumulate(reach, axis=1)
+        fresh = np.concatenate([np.ones((rows, 1), bool), top[:, 1:] > top[:, :-1]], axis=1)
+        where = np.maximum.accumulate(np.where(fresh, at, 0), axis=1)
+        run, source = np.full((rows, n), LOW), np.full((rows, n), -1)
+        run[:, 2:] = np.where(top[:, :-2] > LOW, top[:, :-2] - at[2:] - 1, LOW)
+        source[:, 2:] = where[:, :-2]
+        last, first = np.full((rows, n), LOW), np.zeros((rows, n), np.int64)
+        last[:, 1:], first[:, 1:] = best[:, :-1], chunk[:, :-1]
+        direct = np.where(last > LOW, last + 16 + np.maximum(np.maximum(bonus, first), 4), LOW)
+        gapped = np.where(run > LOW, run + 16 + bonus, LOW)
+        near = same & (direct >= gapped) & (direct > LOW)
+        far = same & ~near & (gapped > LOW)
+        best = np.where(near, direct, np.where(far, gapped, LOW))
+        chunk = np.where(near, np.maximum(bonus, first), np.where(far, bonus, 0))
+        links.append(np.where(near, at - 1, np.where(far, source, -1)))
+    scores, ends = best.max(axis=1), best.argmax(axis=1)
+    columns = np.zeros((rows, len(query)), np.int64)
+    place = ends
+    for q in range(len(query) - 1, -1, -1):
+        columns[:, q] = place
+        place = np.maximum(links[q][np.arange(rows), place], 0)
+    return [(int(x), c.tolist()) if x > LOW else None for x, c in zip(scores, columns, strict=True)]
+
+
+def fuzzy_match(text: str, query: str) -> tuple[int, list[int]] | None:
+    """The same for one text."""
+    return fuzzy_matches([text], query)[0]
 
 
 def subsequence_pattern(query: str) -> str:
@@ -102,11 +130,11 @@ def subsequence_pattern(query: str) -> str:
     return ("(?ius)^" if query == query.lower() else "(?s)^") + "".join(f"[^{c}]*+{c}" for c in signs)
 
 
-def fuzzy_lines(lines: DataFrame, query: str, limit: int = LINES, keys: tuple[str, ...] = ("note_id", "row_no")) -> DataFrame:
-    """``(*keys, text, score, positions)`` of the lines that match a query best as a subsequence.
+def scored_lines(lines: DataFrame, query: str, keys: tuple[str, ...] = ("note_id", "row_no")) -> DataFrame:
+    """``(*keys, text, score, positions)`` of all lines that hold a query as a subsequence.
 
     White space in the query doesn't count; an empty query has no results. A pattern keeps lines
-    that can't match from Python; ties go to the earlier keys.
+    that can't match from Python.
     """
     query = "".join(query.split())
     types = dict(lines.dtypes)
@@ -116,19 +144,58 @@ def fuzzy_lines(lines: DataFrame, query: str, limit: int = LINES, keys: tuple[st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = [fuzzy_match(t, query) for t in rows["text"]]
-            keep = [f is not None for f in found]
-            out = rows[keep].copy()
+            found = fuzzy_matches(rows["text"].tolist(), query)
+            out = rows[[f is not None for f in found]].copy()
             out["score"] = [f[0] for f in found if f]
             out["positions"] = [f[1] for f in found if f]
             yield out[[*keys, "text", "score", "positions"]]
 
-    near = lines.select(*keys, "text").where(F.col("text").rlike(subsequence_pattern(query)))
-    return near.mapInPandas(run, schema).orderBy(F.desc("score"), *keys).limit(limit)
+    return lines.select(*keys, "text").where(F.col("text").rlike(subsequence_pattern(query))).mapInPandas(run, schema)
+
+
+def fuzzy_lines(lines: DataFrame, query: str, limit: int = LINES, keys: tuple[str, ...] = ("note_id", "row_no")) -> DataFrame:
+    """``(*keys, text, score, positions)`` of the lines that match a query best as a subsequence; ties
+    go to the earlier keys."""
+    return scored_lines(lines, query, keys).orderBy(F.desc("score"), *keys).limit(limit)
+
+
+def fuzzy_lines_each(lines: DataFrame, query: str, k: int = LINES) -> DataFrame:
+    """The same inside every note: ``(note_id, row_no, text, score, positions, rank)`` of its ``k`` best lines."""
+    order = Window.partitionBy("note_id").orderBy(F.desc("score"), "row_no", "text")
+    return scored_lines(lines, query).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def ranked_lines(lines: DataFrame, raw: str, limit: int = LINES) -> DataFrame:
+    """``(note_id, row_no, rank, score, query_terms, matched_terms)``: lines ranked as documents of their own.
+
+    The former search inside a file: any term will do, prefixes and typos count.
+    """
+    from marginalia.operators.search import search
+
+    own = lines.select(F.struct("note_id", "row_no").alias("note_id"), F.lit("").alias("path"), "text")
+    found = search(own, raw, limit, boosts={"text": 1.0}, every_term=False)
+    return found.select("note_id.note_id", "note_id.row_no", "rank", "score", "query_terms", "matched_terms")
+
+
+def min_in_set(numbers: Column) -> Column:
+    """The least of an array of numbers; the largest double for an empty or missing one."""
+    return F.coalesce(F.array_min(numbers).cast("double"), F.lit(1.7976931348623157e308))
+
+
+def match_columns(text: Column, terms: list[str]) -> Column:
+    """All columns that the terms cover in a line, whatever their case, in order."""
+    low = F.lower(text)
+    sizes = {len(t): [x.lower() for x in terms if len(x) == len(t)] for t in terms if t}
+    if not sizes:
+        return F.array().cast("array<int>")
+
+    def of(line: Column) -> Column:
+        at = F.when(F.length(line) > 0, F.sequence(F.lit(0), F.length(line) - 1)).otherwise(F.array().cast("array<int>"))
+
+        def spots(n: int, own: list[str]) -> Column:
+            begins = F.filter(at, lambda i: F.substr(line, i + 1, F.lit(n)).isin(*own))
+            return F.flatten(F.transform(begins, lambda i: F.sequence(i, i + (n - 1))))
 
+        return F.array_sort(F.array_distinct(F.flatten(F.array(*(spots(n, own) for n, own in sizes.items())))))
 
-def term_columns(text: str, terms: list[str]) -> list[int]:
-    """All columns that the terms cover in a line, whatever their case."""
-    low = text.lower()
-    spots = (range(i, i + len(t)) for t in map(str.lower, terms) if t for i in range(len(low)) if low.startswith(t, i))
-    return sorted(reduce(lambda a, r: a | set(r), spots, set()))
+    return F.transform(F.array(low), of)[0]

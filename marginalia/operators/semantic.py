@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marginalia.functions.text import terms
+
+#: Numbers of a vector made by hashing.
+DIMENSIONS = 64
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -50,3 +56,46 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
 def semantic_documents(df: DataFrame) -> DataFrame:
     """``(path, view_type, content)`` for a semantic index, each path and text once."""
     return df.select("path", "view_type", "content").distinct()
+
+
+def hashed_terms(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """A vector of a text without a model: each distinct term adds one or takes one, by its hash, in one place.
+
+    Texts that share terms are near; a text without terms has no vector.
+    """
+    hashes = F.transform(terms(text), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 6), 16, 10).cast("int"))
+
+    def total(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(F.filter(own, lambda h: F.pmod(h, F.lit(dimensions)) == d), F.lit(0), lambda a, h: a + F.when(F.pmod(F.floor(h / dimensions), F.lit(2)) == 0, 1).otherwise(-1).cast("int")).cast("float"))
+
+    return F.when(F.size(hashes) > 0, F.transform(F.array(hashes), total)[0])
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """``(path, chunk_no, text)``: the paragraphs of documents, cut at blank lines; blank ones are left out."""
+    parts = F.filter(F.transform(F.split("content", r"\n[^\S\n]*\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    return docs.select("path", F.posexplode(parts).alias("chunk_no", "text"))
+
+
+def embedded(parts: DataFrame, embed: Callable[[Column], Column] = hashed_terms) -> DataFrame:
+    """Passages with their ``embedding``; such without one are left out."""
+    return parts.withColumn("embedding", embed(F.col("text"))).where("embedding is not null")
+
+
+def search_passages(parts: DataFrame, text: str, embed: Callable[[Column], Column] = hashed_terms, k: int = 30) -> DataFrame:
+    """``(path, rank, similarity, items)`` of the ``k`` passages nearest to a text, by document.
+
+    ``items`` has a document's passages as ``(chunk_no, similarity, text)``, nearest first; a
+    document ranks by its nearest. White space around the text doesn't count; a blank text has no
+    results. Ties go to the smaller path and number.
+    """
+    schema = "path string, rank int, similarity double, items array<struct<chunk_no: int, similarity: double, text: string>>"
+    spark = parts.sparkSession
+    vector = spark.range(1).select(embed(F.lit(text.strip())).alias("v")).first()["v"] if text.strip() else None
+    if vector is None:
+        return spark.createDataFrame([], schema)
+    found = top_k(parts.withColumn("__key", F.struct("path", "chunk_no", "text")), [float(x) for x in vector], k, key="__key")
+    rows = found.select("__key.*", "similarity").groupBy("path").agg(F.max("similarity").alias("similarity"), F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "chunk_no", "text"))).alias("near"))
+    items = F.transform("near", lambda x: F.struct(x["chunk_no"].alias("chunk_no"), (-x["far"]).alias("similarity"), x["text"].alias("text")))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("similarity"), "path")
+    return rows.select("path", F.row_number().over(order).alias("rank"), "similarity", items.alias("items"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.functions.text import HAN
-from marginalia.operators.lines import fuzzy_lines, top_lines
+from marginalia.operators.lines import fuzzy_lines, min_in_set, top_lines
 
 
 @dataclass(frozen=True)
@@ -122,25 +122,38 @@ def render(lines: list[str], row: int, columns: list[int], limits: Limits, backg
 def snippets(docs: DataFrame, lines: DataFrame, terms: list[str], query: str, k: int = 30) -> DataFrame:
     """``(note_id, row_no, col, rank, score, snippet)`` of the best lines of each document.
 
-    Lines are ranked with built-in functions; only hits go to Python, each with its own document's
-    content. Documents without a hit have no rows.
+    Lines are ranked with built-in functions; only documents with hits go to Python, each once with
+    its at most ``k`` hits. Documents without a hit have no rows.
     """
     limits = limits_for("subItem", query)
-    hits = top_lines(lines, terms, k=k).select("note_id", "row_no", "rank", "score")
+    hits = top_lines(lines, terms, k=k).groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("rank", "row_no", "score"))).alias("hits"))
     joined = hits.join(docs.select("note_id", "content"), "note_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for x in rows.itertuples():
-                own = x.content.split("\n")
-                text, col = render(own, x.row_no, marked_columns(own[x.row_no], terms, limits), limits)
-                out.append((x.note_id, x.row_no, col, x.rank, x.score, text))
+            for note_id, content, own_hits in zip(rows["note_id"], rows["content"], rows["hits"], strict=True):
+                own = content.split("\n")
+                for x in own_hits:
+                    text, col = render(own, x["row_no"], marked_columns(own[x["row_no"]], terms, limits), limits)
+                    out.append((note_id, x["row_no"], col, x["rank"], x["score"], text))
             yield pd.DataFrame(out, columns=["note_id", "row_no", "col", "rank", "score", "snippet"])
 
     return joined.mapInPandas(run, "note_id bigint, row_no int, col int, rank int, score double, snippet string")
 
 
+def line_snippets(hits: DataFrame, terms: list[str], query: str, background: bool = False) -> DataFrame:
+    """``(note_id, row_no, col, snippet)`` of hits' own lines alone, cut around the first marked column."""
+    limits = limits_for("line", query)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made = [render([t], 0, marked_columns(t, terms, limits), limits, background) for t in rows["text"]]
+            yield pd.DataFrame({"note_id": rows["note_id"], "row_no": rows["row_no"], "col": [c for _, c in made], "snippet": [x for x, _ in made]})
+
+    return hits.select("note_id", "row_no", "text").mapInPandas(run, "note_id bigint, row_no int, col int, snippet string")
+
+
 def search_in_file(docs: DataFrame, note_id: int, query: str, limit: int = 30) -> DataFrame:
     """``(row_no, score, line, paragraph)``: the best lines of one document with both contexts."""
     from marginalia.operators.corpus import split_lines
@@ -152,8 +165,9 @@ def search_in_file(docs: DataFrame, note_id: int, query: str, limit: int = 30) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
+            split = {c: c.split("\n") for c in rows["content"].unique()}
             for x in rows.itertuples():
-                own, columns = x.content.split("\n"), list(x.positions)
+                own, columns = split[x.content], list(x.positions)
                 out.append((x.row_no, x.score, render(own, x.row_no, columns, wide)[0], render(own, x.row_no, columns, around, True)[0]))
             yield pd.DataFrame(out, columns=["row_no", "score", "line", "paragraph"])
 
@@ -191,6 +205,6 @@ def old_search_in_file(docs: DataFrame, note_id: int, query: str, limit: int = 3
 
     one = docs.where(F.col("note_id") == note_id)
     hits = fuzzy_lines(split_lines(one, "note_id", "content"), query, limit)
-    col = F.array_min("positions")
+    col = min_in_set(F.col("positions")).cast("int")
     start = F.greatest(col - 30, F.lit(0))
     return hits.select("row_no", col.alias("col"), F.substr(F.col("text"), start + 1, col + 200 - start).alias("snippet"))

@@ -26,6 +26,18 @@ def read_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (
     return readable.select("path", F.when(paths.extension(F.col("path")) == "html", html_to_text(F.col("value"))).otherwise(F.col("value")).alias("content"))
 
 
-def stop_words(spark: SparkSession, path: str) -> list[str]:
-    """A list of stop words, one a line; a driver-side constant, bounded by the file."""
-    return [r[0] for r in spark.read.text(path).where(F.length("value") > 0).distinct().limit(100_000).collect()]
+def stop_words(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
+    """A list of stop words, one a line, for ``Settings.analysis``.
+
+    A list of more than ``most`` is refused, as it would be part of every expression; for such a one
+    there is ``without_words``.
+    """
+    words = [r[0] for r in spark.read.text(path).where(F.length("value") > 0).distinct().limit(most + 1).collect()]
+    if len(words) > most:
+        raise ValueError(f"more than {most} stop words: join them with without_words")
+    return sorted(words)
+
+
+def without_words(tokens: DataFrame, words: DataFrame, column: str = "token") -> DataFrame:
+    """Rows of tokens that aren't in a table of words of any size (its first column); nulls stay."""
+    return tokens.join(words.select(F.col(words.columns[0]).alias(column)).distinct(), column, "left_anti").select(tokens.columns)

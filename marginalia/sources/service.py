@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import semantic
 from marginalia.sources.snapshots import Store
-from marginalia.sources.tables import materialize
 
 
 class ServiceError(RuntimeError):
@@ -88,33 +87,64 @@ class Service:
 
 
 class Collection:
-    """Vectors of documents as a stored table, with the service's operations."""
+    """Vectors of documents as a stored table, with the service's operations.
 
-    def __init__(self, store: Store, name: str = "vectors"):
-        self.store, self.name = store, name
+    A document may have several passages. A change is written as a numbered delta, so it costs what
+    it changes; the rows of a path's last number count, and every so many changes all is merged.
+    """
+
+    COLUMNS = ("path", "chunk_no", "text", "embedding")
+
+    def __init__(self, store: Store, name: str = "vectors", compact_every: int = 20):
+        self.store, self.name, self.compact_every = store, name, compact_every
 
     def exists(self) -> bool:
         return self.store.current(self.name) is not None
 
+    def rows(self) -> DataFrame:
+        """``(path, chunk_no, text, embedding)`` as they stand."""
+        all_rows = self.store.load_with_deltas(self.name)
+        last = all_rows.groupBy(F.col("path").alias("__path")).agg(F.max("made").alias("__made"))
+        kept = all_rows.join(last, (F.col("path") == F.col("__path")) & (F.col("made") == F.col("__made"))) if self.store.deltas(self.name) else all_rows
+        return kept.where("not removed").select(*self.COLUMNS)
+
     def count(self) -> int:
-        return self.store.load(self.name).count() if self.exists() else 0
+        """How many documents have vectors."""
+        return self.rows().select("path").distinct().count() if self.exists() else 0
+
+    def _stored(self, vectors: DataFrame, number: int) -> DataFrame:
+        number_of = F.col("chunk_no") if "chunk_no" in vectors.columns else F.lit(0)
+        text = F.col("text") if "text" in vectors.columns else F.lit(None)
+        vector = F.col("embedding") if "embedding" in vectors.columns else F.lit(None)
+        own = vectors.select("path", number_of.cast("int").alias("chunk_no"), text.cast("string").alias("text"), vector.cast("array<float>").alias("embedding"))
+        return own.where("path is not null").dropDuplicates(["path", "chunk_no"]).withColumns({"removed": F.lit("embedding" not in vectors.columns), "made": F.lit(number)})
 
     def reindex(self, vectors: DataFrame) -> None:
-        """Replaces the table by ``(path, embedding)`` rows, one for each path."""
-        self.store.save(self.name, vectors.select("path", "embedding").dropDuplicates(["path"]))
+        """Replaces the table by rows of ``path`` and ``embedding``, with ``chunk_no`` and ``text`` if a path has several."""
+        number, parts = self._last(), self.store.deltas(self.name)
+        self.store.save(self.name, self._stored(vectors, number), merged=number)
+        self.store.drop_deltas(parts)
+
+    def _last(self) -> int:
+        folder = self.store.current(self.name)
+        return max([0, *(int(x.rstrip("/").rpartition("/")[2]) for x in self.store.deltas(self.name)), *([int(folder.rpartition("-")[2])] if folder else [])])
+
+    def _change(self, vectors: DataFrame) -> None:
+        number = self._last() + 1
+        self.store.add_delta(self.name, self._stored(vectors, number), number)
+        if number % self.compact_every == 0:
+            self.reindex(self.rows())
 
     def add(self, vectors: DataFrame) -> None:
         """Adds vectors of paths that aren't there yet."""
         if not self.exists():
             return self.reindex(vectors)
-        old = self.store.load(self.name)
-        new = vectors.select("path", "embedding").dropDuplicates(["path"]).join(old.select("path"), "path", "left_anti")
-        self.store.save(self.name, materialize(old.unionByName(new)))
+        self._change(vectors.join(self.rows().select("path").distinct(), "path", "left_anti"))
 
     def delete(self, paths: DataFrame) -> None:
         if self.exists():
-            self.store.save(self.name, materialize(self.store.load(self.name).join(paths.select("path").distinct(), "path", "left_anti")))
+            self._change(paths.select("path"))
 
     def search(self, vector: list[float], k: int = 10) -> DataFrame:
-        """``(path, similarity)`` of the nearest documents."""
-        return semantic.top_k(self.store.load(self.name), vector, k, key="path")
+        """``(path, similarity)`` of the nearest passages' documents."""
+        return semantic.top_k(self.rows(), vector, k, key="path")

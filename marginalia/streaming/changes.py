@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.operators.maintain import latest, op_name
 from marginalia.sources.snapshots import Store
+from marginalia.sources.tables import materialize
 
 CHANGES = "op_id bigint, vault string, path string, op string, op_time timestamp, arrived_at timestamp"
 T = TypeVar("T")
@@ -69,21 +70,54 @@ def compact(store: Store, name: str = "net_changes") -> None:
         store.drop_deltas(parts)
 
 
-def start(changes: DataFrame, store: Store, checkpoint: str, name: str = "net_changes", once: bool = False, compact_every: int = 20) -> StreamingQuery:
-    """Applies the stream to the stored net changes, a micro-batch at a time.
+def effective(before: DataFrame | None, ops: DataFrame) -> DataFrame:
+    """``(vault, path, op, replace)``: what the operations of a batch do to an index.
+
+    The later of a path's last add and last delete counts, unless an earlier batch brought a newer
+    one. An add after a delete of the same batch replaces the path; a lone add of a path that is
+    there changes nothing, which the index decides.
+    """
+    known = ops.select("vault", "path", op_name(F.col("op")).alias("op"), F.struct("op_time", "op_id").alias("__at")).where("path is not null and op is not null")
+    last = known.groupBy("vault", "path").agg(
+        F.max(F.when(F.col("op") == "add", F.col("__at"))).alias("__add"), F.max(F.when(F.col("op") == "delete", F.col("__at"))).alias("__delete"), F.max("__at").alias("__last")
+    )
+    if before is not None:
+        old = before.select(F.col("vault").alias("__vault"), F.col("path").alias("__path"), F.struct("op_time", "op_id").alias("__old"))
+        last = last.join(old, F.col("vault").eqNullSafe(F.col("__vault")) & (F.col("path") == F.col("__path")), "left").where("__old is null or __last >= __old")
+    adds = F.coalesce(F.col("__add") >= F.col("__delete"), F.col("__add").isNotNull())
+    return last.select("vault", "path", F.when(adds, "add").otherwise("delete").alias("op"), (adds & F.col("__delete").isNotNull()).alias("replace"))
+
+
+def stop(spark: SparkSession, name: str) -> None:
+    """Stops the running query of a name, if there is one."""
+    for query in spark.streams.active:
+        if query.name == name:
+            query.stop()
+
+
+def start(
+    changes: DataFrame, store: Store, checkpoint: str, name: str = "net_changes", once: bool = False, compact_every: int = 20, then: Callable[[DataFrame], Any] | None = None
+) -> StreamingQuery:
+    """Applies the stream to the stored net changes, a micro-batch at a time; a running one of the same
+    store is stopped first.
 
     The pending changes of a batch are coalesced by path and written as a delta under the batch's
     number, so a batch costs what it holds and not what the state holds, and a replayed one replaces
-    itself; every so many batches the deltas are merged into the snapshot. The trigger throttles to
-    one flush in ten seconds.
+    itself; every so many batches the deltas are merged into the snapshot. ``then`` gets what each
+    batch does to an index, before the batch counts as done, so it may come again. The trigger
+    throttles to one flush in ten seconds.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
+        if then is not None:
+            then(materialize(effective(state(store, name), batch)))
         store.add_delta(name, merge_state(None, batch), number)
         if (number + 1) % compact_every == 0:
             compact(store, name)
 
-    writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    own = f"{store.root}/{name}"
+    stop(store.spark, own)
+    writer = changes.writeStream.queryName(own).foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.query import Options
 from marginalia.operators import corpus, index, lines, maintain, search, semantic, snippets
-from marginalia.sources.snapshots import Settings, Store, load_settings, merge, save_index, save_settings
+from marginalia.sources.snapshots import Settings, Store, load_settings, merge, save_index, save_settings, search_saved
 from marginalia.sources.tables import drop_repeats
 
 
@@ -49,6 +49,16 @@ def test_drop_repeats_paths_agree(spark):
     assert drop_repeats(df.limit(0), "k", [F.col("v")]).count() == 0
 
 
+def test_drop_repeats_has_a_total_order(spark):
+    data = [(1, 5, "a"), (1, 5, "b"), (1, 5, "b"), (1, 6, "c"), (2, None, "d"), (2, 1, "e"), (2, 2, "f"), (3, None, "g"), (4, 7, "h"), (4, 7, "h"), (None, 1, "i"), (None, 1, "i"), (5, 1, "j"), (5, 2, "k"), (5, 2, "l")]
+    df = spark.createDataFrame(data, "k int, v int, t string")
+    for some in (df, df.where("k is null or k > 1"), df.where("k = 5"), df.where("k = 3"), df.where("k in (1, 4)")):
+        ways = [drop_repeats(part, "k", [F.col("v")], broadcast_rows=n).collect() for n in (100, 1) for part in (some, some.repartition(7, "t"), some.repartition(3))]
+        assert all(sorted(map(str, w)) == sorted(map(str, ways[0])) for w in ways)
+    got = {r["k"]: r["t"] for r in drop_repeats(df, "k", [F.col("v")]).where("k is not null").collect()}
+    assert got[2] == "e" and got[3] == "g" and got[4] == "h" and got[5] == "j" and got[1] in "ab"
+
+
 def test_postings_count_case_variants(docs):
     got = {(r["note_id"], r["field"], r["term"]): r["tf"] for r in index.postings(docs).collect()}
     assert got[2, "content", "glass"] == 3 and got[2, "content", "glasses"] == 1 and got[1, "basename", "furnace"] == 1
@@ -81,9 +91,8 @@ def test_saved_index_ranks_alike(spark, docs, tmp_path):
     store = Store(spark, str(tmp_path), "c")
     assert store.load("postings") is None
     save_index(store, docs, docs.select("path"))
-    saved = search.search_index(store.load("postings"), store.load("lengths"), "glas furn", docs.count())
-    plain = search.search(docs, "glas furn").select("note_id", "score")
-    assert rows(saved) == rows(plain)
+    for raw in ("glas furn", "glass furnace /np/nf", "fu /nf", "nothing", ""):
+        assert rows(search_saved(store, raw)) == rows(search.search(docs, raw))
     store.save("lengths", index.field_lengths(docs))
     assert store.load("lengths").count() == 20
     other = Store(spark, str(tmp_path), "c", version=1)
@@ -116,6 +125,47 @@ def test_fuzzy_match_is_a_subsequence():
     assert lines.fuzzy_match("abc", "") == (0, [])
 
 
+def test_fuzzy_match_finds_the_best(spark):
+    """Against all ways to place the query, by the same rules."""
+    from itertools import combinations
+
+    def score(text, columns):
+        def bonus(i):
+            p = text[i - 1] if i else " "
+            return 8 if text[i].isalnum() and not p.isalnum() else 7 if p.islower() and text[i].isupper() or text[i].isdigit() and not p.isdigit() else 0
+
+        total, first = 0, 0
+        for k, c in enumerate(columns):
+            if k and c == columns[k - 1] + 1:
+                first = max(bonus(c), first)
+                total += 16 + max(first, 4)
+            else:
+                first = bonus(c)
+                total += 16 + bonus(c) * (2 if k == 0 else 1) - (3 + c - columns[k - 1] - 2 if k else 0)
+        return total
+
+    random.seed(5)
+    for _ in range(150):
+        text = "".join(random.choice("abB -1") for _ in range(random.randint(0, 9)))
+        q = "".join(random.choice("ab1") for _ in range(random.randint(1, 3)))
+        ways = [c for c in combinations(range(len(text)), len(q)) if "".join(text[i] for i in c).lower() == q]
+        got = lines.fuzzy_match(text, q)
+        assert (got is None) == (not ways)
+        if got:
+            assert got[0] == score(text, got[1]) and got[0] >= max(score(text, c) for c in ways) - 8
+
+
+def test_columns_and_ranked_lines(spark):
+    df = spark.createDataFrame([(1, 0, "Glass of glasses"), (1, 1, ""), (1, 2, None), (2, 0, "furnace glas"), (2, 1, "kiln")], "note_id bigint, row_no int, text string")
+    found = {(r[0], r[1]): r[2] for r in df.select("note_id", "row_no", lines.match_columns(F.col("text"), ["glass", "of"])).collect()}
+    assert found[1, 0] == [0, 1, 2, 3, 4, 6, 7, 9, 10, 11, 12, 13] and found[1, 1] == [] and found[2, 1] == []
+    assert [r[0] for r in df.where("row_no = 0").orderBy("note_id").select(lines.min_in_set(lines.match_columns(F.col("text"), ["glass"]))).collect()] == [0.0, 1.7976931348623157e308]
+    got = lines.ranked_lines(df, "glass furnace").orderBy("rank").collect()
+    assert [(r["note_id"], r["row_no"]) for r in got] == [(2, 0), (1, 0)]
+    each = lines.fuzzy_lines_each(df, "gls", 1)
+    assert sorted((r["note_id"], r["row_no"]) for r in each.collect()) == [(1, 0), (2, 0)]
+
+
 def test_fuzzy_lines(spark):
     df = spark.createDataFrame([(1, 0, "glass furnace"), (1, 1, None), (1, 2, ""), (1, 3, "g-l-a-s"), (1, 4, "furnace")], "note_id bigint, row_no int, text string")
     got = lines.fuzzy_lines(df, "gl as").collect()
@@ -204,7 +254,7 @@ def test_nearest_of_each_query(spark):
 
 
 def test_files(spark, tmp_path):
-    from marginalia.sources.files import list_files, read_files, stop_words
+    from marginalia.sources.files import list_files, read_files, stop_words, without_words
 
     (tmp_path / "d").mkdir()
     (tmp_path / "d/a b.md").write_text("x\r\ny\n", encoding="utf-8")
@@ -213,7 +263,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "stop.txt").write_text("the\n\na\n")
     assert [r["path"].replace("%20", " ") for r in list_files(spark, f"file:{tmp_path}/d").collect()] == ["a b.md"]
     assert rows(read_files(spark, f"file:{tmp_path}/d", ("md", "html"))) == [("a b.md", "x\r\ny\n"), ("c.html", "hi you\n")]
-    assert sorted(stop_words(spark, str(tmp_path / "stop.txt"))) == ["a", "the"]
+    assert stop_words(spark, str(tmp_path / "stop.txt")) == ["a", "the"]
+    with pytest.raises(ValueError, match="stop words"):
+        stop_words(spark, str(tmp_path / "stop.txt"), most=1)
+    tokens = spark.createDataFrame([("the", 1), ("kiln", 2), (None, 3)], "token string, n int")
+    assert sorted(r["n"] for r in without_words(tokens, spark.read.text(str(tmp_path / "stop.txt"))).collect()) == [2, 3]
 
 
 def test_settings(tmp_path):
