@@ -18,8 +18,7 @@ PAIRS = f"""WITH {NOTES}, {TAGS},
 n AS (SELECT count(*) AS n_notes FROM notes),
 item AS (SELECT tag, count(*) AS k FROM tagged GROUP BY tag),
 pair AS (SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS notes_ab FROM tagged a JOIN tagged b ON a.note_id = b.note_id AND a.tag < b.tag GROUP BY ALL),
-scored AS (SELECT tag_a, tag_b, x.k AS notes_a, y.k AS notes_b, notes_ab, n_notes FROM pair JOIN item x ON x.tag = tag_a JOIN item y ON y.tag = tag_b, n
-  WHERE notes_ab >= 5 AND 1000 * notes_ab >= n_notes)
+scored AS (SELECT tag_a, tag_b, x.k AS notes_a, y.k AS notes_b, notes_ab, n_notes FROM pair JOIN item x ON x.tag = tag_a JOIN item y ON y.tag = tag_b, n)
 """
 TERMS = f"""WITH {NOTES},
 tokens AS (SELECT note_id, lower(unnest(regexp_extract_all(concat_ws(' | ', content, headings, tags), '[A-Za-zÀ-ÖØ-öø-ÿ]{{5,}}'))) AS term FROM notes),
@@ -46,7 +45,7 @@ SQL = {
     "p2_found": LOOK + " SELECT DISTINCT a.field_name, a.note_id AS note_a, b.note_id AS note_b FROM value a JOIN value b ON a.field_name = b.field_name AND a.look = b.look AND a.note_id < b.note_id AND a.stored <> b.stored WHERE trim(a.look, ' ' || chr(9) || chr(10)) <> ''",
     "p4_found": FREQUENCY + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_term_frequency": FREQUENCY + "SELECT * FROM marked",
-    "p5_found": PAIRS + "SELECT tag_a, tag_b FROM scored WHERE notes_ab * n_notes >= 4 * notes_a * notes_b",
+    "p5_found": PAIRS + "SELECT tag_a, tag_b FROM scored WHERE notes_ab >= 5 AND 1000 * notes_ab >= n_notes AND notes_ab * n_notes >= 4 * notes_a * notes_b",
     "p5_tag_pairs": PAIRS + """SELECT tag_a, tag_b, notes_a, notes_b, notes_ab, n_notes, notes_ab * n_notes / (notes_a * notes_b) AS lift,
   CASE WHEN notes_a > notes_ab THEN (notes_a / n_notes) * (1 - notes_b / n_notes) / ((notes_a - notes_ab) / n_notes) END AS conviction FROM scored""",
     "p6_found": TERMS + "SELECT note_id, term FROM tf JOIN df USING (term) WHERE k >= 5 AND n <= 3",
