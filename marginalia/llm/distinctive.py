@@ -24,26 +24,15 @@ def _stream(batch: pa.RecordBatch, least: int) -> tuple[pa.Array, np.ndarray, np
     return pa.chunked_array([t for t, _ in parts], pa.string()), rows, segments
 
 
-def _record_counts(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.sliced(batches, *FIELDS):
-            terms, rows, _ = _stream(part, least)
-            yield from T.counted("all", terms, rows)
-
-    return run
-
-
-def graph_of_words(codes: np.ndarray, rows: np.ndarray, segments: np.ndarray, window: int, min_tf: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def graph_of_words(codes: np.ndarray, rows: np.ndarray, segments: np.ndarray, window: int, min_tf: int) -> tuple[np.ndarray, ...]:
     """Row, term code, occurrences and degree of each term that occurs ``min_tf`` times in its row.
 
-    ``asked`` says of each code whether its term is wanted. The degree is the number of distinct other terms within ``window`` terms on either side, inside
+    The degree is the number of distinct other terms within ``window`` terms on either side, inside
     one segment.
     """
     width = int(codes.max()) + 1
     keys, at, tf = np.unique(rows * width + codes, return_inverse=True, return_counts=True)
     take = tf >= min_tf
-    if asked is not None:
-        take &= asked[keys % width]
     wanted = take[at]
     edges = []
     for k in range(1, window):
@@ -56,51 +45,58 @@ def graph_of_words(codes: np.ndarray, rows: np.ndarray, segments: np.ndarray, wi
     return keys[take] // width, keys[take] % width, tf[take], degree[take]
 
 
-def _weights(least: int, window: int, min_tf: int, hot: object = None, keep_hot: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _one_pass(least: int, window: int, min_tf: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of both kinds from one reading: of each slice the records of its terms (``occurrences`` is
+    null), and of each record its terms with occurrences and degree."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.sliced(batches, *FIELDS):
             terms, rows, segments = _stream(batch, least)
             codes, distinct = T.encode(terms)
-            if len(codes):
-                order = np.argsort(segments, kind="stable")
-                counts = np.zeros(len(distinct), np.int64) if hot is None else np.array([hot.value.get(t, 0) for t in distinct.to_pylist()], np.int64)
-                asked = None if hot is None else (counts > 0) == keep_hot
-                row, code, tf, degree = graph_of_words(codes[order], rows[order], segments[order], window, min_tf, asked)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("note_id").take(pa.array(row)), distinct.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(degree, pa.int64()), pa.array(counts[code])],
-                    ["note_id", "term", "occurrences", "degree", "notes"],
-                )
+            if not len(codes):
+                continue
+            _, records = T.last_seen_counts(codes, rows, len(distinct))
+            nothing = pa.nulls(len(distinct), pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, distinct, nothing, nothing, pa.array(records, pa.int64())], NAMES)
+            order = np.argsort(segments, kind="stable")
+            row, code, tf, degree = graph_of_words(codes[order], rows[order], segments[order], window, min_tf)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("note_id").take(pa.array(row)), distinct.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(degree, pa.int64()), pa.nulls(len(row), pa.int64())], NAMES
+            )
 
     return run
 
 
-def term_weights(notes: DataFrame, least: int = 5, window: int = 4, min_tf: int = 1, max_notes: int | None = None) -> DataFrame:
+NAMES = ["note_id", "term", "occurrences", "degree", "records"]
+
+
+def term_weights(notes: DataFrame, least: int = 5, window: int = 4, min_tf: int = 1, max_notes: int | None = None, broadcast_terms: int = 10_000) -> DataFrame:
     """``(note_id, term, occurrences, degree, notes, score)`` of every term of every note.
 
     ``degree`` is the number of distinct terms within ``window`` of the term in the note's graph of
-    words; ``score`` is degree * ln((N + 1) / notes), with N the notes that have any term and
-    ``notes`` those that have this one. ``min_tf`` and ``max_notes`` keep only terms that occur so
-    often in the note, and in so few notes.
-
-    Terms in more than a thousandth of the notes, of which there are fewer than a thousand times the
-    terms of an average note, go to the tasks with their counts and need no join; the others join by
-    shuffle, where no key can be hot. Null and empty fields give no term; a table without terms gives
-    no rows.
+    words; ``score`` is degree * ln((N + 1) / notes), with N the number of all notes and ``notes``
+    those that have this term. ``min_tf`` and ``max_notes`` keep only terms that occur so often in
+    the note, and in so few notes.
+
+    The texts are read and cut into terms once; that pass, which gives the terms of each note and,
+    summed up slice by slice, the notes of each term, is written and read again for the join. The
+    ``broadcast_terms`` commonest terms are joined by broadcast, so their number has a bound; of the
+    others none can be in more than one row of ``broadcast_terms``, so no key is hot in the shuffle.
+    Null and empty fields give no term; a table without terms gives no rows.
     """
     once = notes_once(notes.select("note_id", "indexed_at", *FIELDS)).select("note_id", *FIELDS)
-    counts = once.mapInArrow(_record_counts(least), T.COUNT_SCHEMA).groupBy("term").agg(F.sum("notes").alias("notes"))
     total = once.count()
-    schema = "note_id bigint, term string, occurrences bigint, degree bigint, notes bigint"
+    rows = materialize(once.mapInArrow(_one_pass(least, window, min_tf), "note_id bigint, term string, occurrences bigint, degree bigint, records bigint"))
+    counts = rows.where("occurrences is null").groupBy("term").agg(F.sum("records").alias("notes"))
+    weights = rows.where("occurrences is not null").drop("records")
     if max_notes is not None:
-        weights = once.mapInArrow(_weights(least, window, min_tf), schema).drop("notes")
         joined = weights.join(counts.where(F.col("notes") <= max_notes), "term")
     else:
         counts = materialize(counts)
-        limit = max(1, total // 1000)
-        hot = once.sparkSession.sparkContext.broadcast({r["term"]: r["notes"] for r in counts.where(F.col("notes") > limit).collect()})
-        warm = once.mapInArrow(_weights(least, window, min_tf, hot, True), schema)
-        cold = once.mapInArrow(_weights(least, window, min_tf, hot, False), schema).drop("notes")
-        joined = warm.unionByName(cold.join(counts.where(F.col("notes") <= limit), "term"))
+        hot = F.broadcast(counts.orderBy(F.desc("notes"), "term").limit(broadcast_terms).select("term", F.col("notes").alias("__hot")))
+        told = weights.join(hot, "term", "left")
+        cold = told.where("__hot is null").drop("__hot").join(counts, "term")
+        joined = told.where("__hot is not null").withColumnRenamed("__hot", "notes").unionByName(cold)
     score = F.col("degree") * F.log((F.lit(total) + 1) / F.col("notes"))
     return joined.select("note_id", "term", "occurrences", "degree", "notes", score.alias("score"))
 
