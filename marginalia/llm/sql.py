@@ -1,6 +1,6 @@
 """SQL of the pN_ queries, for DuckDB over the same tables."""
 
-from marginalia.llm.lookalikes import PROTOTYPES, consistent
+import unicodedata
 
 NOTES = "notes AS (SELECT note_id, any_value(content) AS content, any_value(tags) AS tags, any_value(headings) AS headings FROM indexed_documents GROUP BY note_id)"
 TAGS = "tagged AS (SELECT DISTINCT note_id, lower(ltrim(t, '#')) AS tag FROM (SELECT note_id, unnest(regexp_split_to_array(tags, '\\s+')) AS t FROM notes WHERE tags IS NOT NULL) WHERE ltrim(t, '#') <> '')"
@@ -28,12 +28,21 @@ df AS (SELECT term, count(*) AS n FROM tf GROUP BY term)
 LONG = """SELECT DISTINCT '{0}' AS table_name, path, CASE WHEN len(list_filter(regexp_split_to_array(content, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}.!?\\x{{3002}}\\x{{ff01}}\\x{{ff1f}}]'), lambda x: length(x) > 4000)) > 0 THEN 'unbounded' ELSE 'bounded' END AS kind
 FROM {0} WHERE length(content) > 4000"""
 
+#: Letters and signs that look like others, written down here apart from the operator's table.
+LOOKS = (
+    ("АВЕЅІЈКМНОРСТУХҮҺԀԌԚԜӀаеѕіјорсухһԁԛԝүӏѵ", "ABESIJKMHOPCTYXYhdGQWIaesijopcyxhdqwylv"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονΑαιρϲϳ", "ABEZHIKMNOPTYXovAaipcj"), ("օոսհցՕɑɡɩı", "onuhgOagii"), ("‐‑−˗∕⁄∶։ʼˈ‚∗", "----//::’',*"),
+)
+
+
 def _same_look(column: str) -> str:
     """A value in the form in which equal-looking ones are equal, as far as SQL has the functions."""
-    wide = {chr(n + 0xFEE0): chr(n) for n in range(0x21, 0x7F)}
-    spaces = {c: " " for c in "\u00a0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))}
-    accented = {c: composed for c in map(chr, range(0x370, 0x530)) if (composed := consistent(c)) != c and c not in PROTOTYPES}
-    table = {a: b for a, b in (PROTOTYPES | wide | spaces | accented).items() if len(b) == 1}
+    own = {a: b for old, new in LOOKS for a, b in zip(old, new, strict=True)}
+    table = own | {chr(n + 0xFEE0): chr(n) for n in range(0x21, 0x7F)} | {c: " " for c in "\u00a0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))}
+    for c in map(chr, range(0x370, 0x530)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and parts[0] in own and len(whole := unicodedata.normalize("NFC", own[parts[0]] + parts[1:])) == 1:
+            table[c] = whole
     old, new = ("".join(x).replace("'", "''") for x in (table.keys(), table.values()))
     hidden = "[\\x{ad}\\x{200b}-\\x{200f}\\x{2060}-\\x{2064}\\x{feff}\\x{fe00}-\\x{fe0f}]"
     return f"nfc_normalize(translate(regexp_replace(regexp_replace({column}, '\\r\\n?', chr(10), 'g'), '{hidden}', '', 'g'), '{old}', '{new}'))"
@@ -43,6 +52,8 @@ LOOK = "WITH value AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS field_n
 
 SQL = {
     "p2_found": LOOK + " SELECT DISTINCT a.field_name, a.note_id AS note_a, b.note_id AS note_b FROM value a JOIN value b ON a.field_name = b.field_name AND a.look = b.look AND a.note_id < b.note_id AND a.stored <> b.stored WHERE trim(a.look, ' ' || chr(9) || chr(10)) <> ''",
+    "p2_classes": LOOK + """, held AS (SELECT * FROM value WHERE trim(look, ' ' || chr(9) || chr(10)) <> ''), n AS (SELECT field_name, look, count(DISTINCT stored)::INT AS n_forms, count(*) AS n_notes FROM held GROUP BY ALL HAVING count(DISTINCT stored) > 1)
+SELECT field_name, note_id, n_forms, n_notes, min(note_id) OVER (PARTITION BY field_name, look) AS first_of_class, min(note_id) OVER (PARTITION BY field_name, look, stored) AS first_of_form FROM held JOIN n USING (field_name, look)""",
     "p4_found": FREQUENCY + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_term_frequency": FREQUENCY + "SELECT * FROM marked",
     "p5_found": PAIRS + "SELECT tag_a, tag_b FROM scored WHERE notes_ab >= 5 AND 1000 * notes_ab >= n_notes AND notes_ab * n_notes >= 4 * notes_a * notes_b",
