@@ -203,9 +203,9 @@ def train(notes: DataFrame, per_language: int = 150, rounds: int = 3) -> Model:
 
     ``per_language`` is the bound: so many notes of each label, first in the order of a hash of
     their id, with their whole contents. Labels may be wrong; ``rounds`` of refitting on the lines'
-    own languages cure that. A language that no note is labelled with starts from the built-in list
-    of its common words, and as many notes without label are sampled too, so that a collection
-    without labels is fitted as well.
+    own languages cure that. If a language has no labelled note, labels aren't trusted at all: the
+    model starts from the built-in lists of common words, and as many notes without label are
+    sampled too, so that a collection without labels is fitted as well.
     """
     labelled = notes.where((F.length("content") > 100) & F.col("note_id").isNotNull()).select("note_id", "content", F.coalesce(language_of(F.col("lang")), F.lit(UNKNOWN)).alias("label"))
     first = Window.partitionBy("label").orderBy(F.xxhash64("note_id"), "note_id")
@@ -223,8 +223,8 @@ def train(notes: DataFrame, per_language: int = 150, rounds: int = 3) -> Model:
     data = [(r["content"], LANGUAGES.index(r["label"])) for r in rows if r["label"] != UNKNOWN]
     free = [(r["content"], -1) for r in rows if r["label"] == UNKNOWN]
     seeds = _seeds(absent)
-    model = Model(_count_lines(data, None) + seeds)
-    for _ in range(rounds - 1):
+    model = Model(_seeds(list(range(len(LANGUAGES)))) if absent else _count_lines(data, None))
+    for _ in range(rounds if absent else rounds - 1):
         model = Model(_count_lines(data + free, model) + seeds)
     scored = [(sums, letters.sum()) for text, _ in data + free for each, letters, _ in [model.scores(spoken_lines(text))] for sums in [each.sum(axis=0)] if letters.sum()]
     if scored and not absent:  # else the scores are those of too few texts to say what is usual
