@@ -284,3 +284,44 @@ def test_one_length_fills_its_budget(spark):
     documents = spark.createDataFrame([(i, "a b c", "s") for i in range(500)], "doc_id bigint, text string, source string")
     targets = spark.createDataFrame([("s", 0.4, 1)], "source string, target_share double, max_repeats int")
     assert mixing.mix(documents, targets)[0].count() == 200
+
+
+def mix_tables(spark, n=900):
+    rng = random.Random(3)
+    docs = [(k, " ".join(["glass", "kiln", "ferry"][k % 3] for _ in range(rng.randrange(1, 9))), ("a", "b", "c")[0 if k % 10 < 8 else 1 + k % 2]) for k in range(n)]
+    targets = [("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.1, 1), ("none", 0.1, 3)]
+    return spark.createDataFrame(docs, "doc_id bigint, text string, source string"), spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+
+
+def test_shares_are_met_by_a_smaller_mix(spark):
+    docs, targets = mix_tables(spark)
+    mixed, report = mixing.mix(docs, targets, meet_shares=True)
+    got = {r["source"]: r for r in report.collect()}
+    assert got["none"]["tokens_mixed"] == 0 and not any(got[s]["short"] for s in "abc")
+    for s in "abc":
+        assert abs(got[s]["share_reached"] - got[s]["target_share"] / 0.9) < 0.01 and got[s]["most_repeats"] <= got[s]["max_repeats"]
+    assert sum(r["tokens"] * r["repeats"] for r in mixed.collect()) == sum(r["tokens_mixed"] for r in got.values())
+
+
+def test_buckets_and_spreading_don_t_change_the_mix(spark, monkeypatch):
+    docs, targets = mix_tables(spark)
+    plain = rows(mixing.mix(docs, targets)[0])
+    monkeypatch.setattr(mixing, "PER_BUCKET", 7)
+    assert rows(mixing.mix(docs, targets)[0]) == plain
+    monkeypatch.setattr(mixing, "BROADCAST_LENGTHS", 1)
+    assert rows(mixing.mix(docs, targets)[0]) == plain
+    assert sorted(r[0] for r in mixing.found(docs, targets).collect()) == ["b", "c", "none"]
+
+
+def test_all_pairs_come_without_a_threshold(spark, make_notes):
+    df = make_notes({"note_id": 1, "tags": "a b"}, {"note_id": 2, "tags": "b c"}, {"note_id": 3, "tags": "#A c b"}, {"note_id": 4, "tags": None})
+    assert rows(together.tag_pairs(df).select("tag_a", "tag_b", "notes_ab")) == [("a", "b", 2), ("a", "c", 1), ("b", "c", 2)]
+    assert rows(together.tag_pairs(df, broadcast_tags=0)) == rows(together.tag_pairs(df))
+    assert rows(together.tag_pairs(df, min_notes=2).select("tag_a", "tag_b")) == [("a", "b"), ("b", "c")]
+
+
+def test_common_terms_join_alike(make_notes):
+    df = make_notes(*({"note_id": k, "content": f"glass kiln harbour number{'abcdefgh'[k]} furnace"} for k in range(8)), {"note_id": 8, "content": "x y"}, {"note_id": 9, "content": None})
+    plain = rows(distinctive.term_weights(df))
+    assert rows(distinctive.term_weights(df, broadcast_terms=2)) == plain and len(plain) == 8 * 4
+    assert rows(distinctive.term_weights(df, broadcast_terms=1).where("term = 'glass'"))[0][4] == 8
