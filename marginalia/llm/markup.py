@@ -1,9 +1,9 @@
 """p1: markup taken out of notes, with headings, lists, code and formulas kept.
 
-A note is read line by line into blocks, the blocks into a tree of sections, and the tree is scored
-as main-content extractors do: paragraphs pass points to their ancestors, discounted by link density.
-A note is all content, so no container is selected: the best score is the bar for parts of mere links,
-which go below it unless they are lists.
+A note is read line by line into blocks, and the blocks into a tree of HTML containers, such as
+articles, menus and footers, and of sections under headings. Paragraphs pass points for length and
+commas to the containers around them, discounted by link density; the best container is kept with
+those beside it that score well, and with what stands in no container, as that is the note's own.
 """
 
 from __future__ import annotations
@@ -31,6 +31,16 @@ TAGS = set(
     output p param picture pre progress q rb rp rt rtc ruby s samp script search section select slot small source span strike strong style sub summary sup svg
     table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr xmp""".split()
 )
+#: Elements that hold parts of a page.
+CONTAINERS = set("article aside body center dialog div fieldset footer form header main menu nav search section".split())
+CONTAINER = re.compile(rf"<\s*/?\s*(?:{'|'.join(sorted(CONTAINERS))})\b", re.IGNORECASE)
+#: Marks in a line that is cut at containers: where one opens or closes, and where the label of a link begins and ends.
+EDGE, LABEL = re.compile("\ue002(/?)([a-z]+[1-6]?)\ue003"), re.compile("\ue004([^\ue005]*)\ue005?")
+#: Elements at which such a line is cut as well.
+LINES = {"p", "li", "tr", "br", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Characters for private use that mark places here, and what stands for them where a note has them itself.
+OWN = str.maketrans({chr(0xE000 + k): chr(0x10FFF0 + k) for k in range(6)})
+BACK = str.maketrans({chr(0x10FFF0 + k): chr(0xE000 + k) for k in range(6)})
 #: LaTeX environments whose content is code, and commands whose arguments are no text.
 VERBATIM = {"verbatim", "verbatim*", "lstlisting", "minted", "alltt", "Verbatim"}
 NO_TEXT = {"label", "ref", "eqref", "cite", "citep", "citet", "pageref", "begin", "end", "bibliography", "bibliographystyle", "includegraphics", "input", "include", "usepackage", "documentclass", "vspace", "hspace", "index", "pagestyle", "footnotemark", "maketitle", "noindent", "centering", "autoref", "nocite"}
@@ -122,6 +132,7 @@ class Block:
     text: str = ""
     linked: int = 0
     families: set[str] = field(default_factory=set)
+    parts: list[Block | str] | None = None  # what stands between containers on this line, and ``name`` or ``/name`` of them
 
 
 class Reader:
@@ -131,6 +142,7 @@ class Reader:
         self.until: re.Pattern[str] | None = None
         self.inside = ""  # fence, pre, comment, math, verbatim, template, hidden
         self.table = 0
+        self.cut = False  # whether the line has containers
         self.environments: list[str] = []
         self.blocks: list[Block] = []
 
@@ -259,7 +271,10 @@ class Reader:
                 seen.add("markdown")
                 b.kind = "blank"
                 return
+        self.cut = CONTAINER.search(line) is not None
         text = self.inline(line, b)
+        if self.cut:
+            text, self.cut = self.between(text, b), False
         if b.kind == "list":
             text = "  " * b.level + "- " + text.strip()
         if b.kind == "heading":
@@ -270,9 +285,35 @@ class Reader:
             b.kind = "formula"
         b.text = text.strip() if b.kind not in ("code", "list") else text.rstrip()
 
+    def between(self, text: str, b: Block) -> str:
+        """The text of a line without the marks of containers and labels; its parts go to the block."""
+        parts: list[Block | str] = []
+        kind, level, at = b.kind, b.level, 0
+        for m in [*EDGE.finditer(text), None]:
+            own = text[at : m.start() if m else len(text)]
+            plain = LABEL.sub(r"\1", own).replace("\ue005", "").strip()
+            if plain:
+                lead = "#" * level + " " if kind == "heading" else "- " if kind == "list" else ""
+                parts.append(Block(b.row, kind, level, lead + plain, sum(len(x) - x.count(" ") for x in LABEL.findall(own))))
+            if m:
+                name, at = m.group(2), m.end()
+                if name in CONTAINERS:
+                    parts.append(m.group(1) + name)
+                kind, level = "paragraph", 0
+                if not m.group(1) and name[0] == "h" and name[1:].isdigit():
+                    kind, level = "heading", int(name[1])
+                elif not m.group(1) and name == "li":
+                    kind = "list"
+        b.parts = parts
+        b.kind = "paragraph" if b.kind in ("heading", "list") else b.kind
+        b.linked += sum(p.linked for p in parts if isinstance(p, Block))
+        return " ".join(p.text for p in parts if isinstance(p, Block))
+
     def inline(self, line: str, b: Block) -> str:
         """The line without inline markup; formulas and code stay as they are."""
         seen, kept = b.families, []
+        foreign = re.search("[\ue000-\ue005]", line) is not None
+        line = line.translate(OWN) if foreign else line
 
         def keep(text: str) -> str:
             kept.append(text)
@@ -280,6 +321,8 @@ class Reader:
 
         def note(family: str, text: str, link: bool = False) -> str:
             seen.add(family)
+            if link and self.cut:
+                return f"\ue004{text}\ue005"
             if link:
                 b.linked += len(text) - text.count(" ")
             return text
@@ -296,7 +339,7 @@ class Reader:
         if "$" in line or "\\" in line:
             line = self.latex(line, b, keep, note)
         if "{{" in line or "}}" in line:
-            for _ in range(20):
+            while True:
                 new = TEMPLATE.sub(lambda m: note("wiki", m.group(1).rstrip("|").rpartition("|")[2].rpartition("=")[2]), line)
                 if new == line:
                     break
@@ -307,7 +350,7 @@ class Reader:
                 self.open("template", r"\}\}+")
                 line = line[:at]
         if "[" in line:
-            for _ in range(5):
+            while True:
                 new = WIKI_LINK.sub(lambda m: note("wiki", m.group(2).rpartition("|")[2].removeprefix("Category:").strip("/."), True), line)
                 if new == line:
                     break
@@ -316,8 +359,8 @@ class Reader:
             line = IMAGE.sub(lambda m: note("markdown", m.group(1), True), line)
             line = LINK.sub(lambda m: note("markdown", m.group(1), True) if m.group(1).strip() else m.group(), line)
         if "''" in line:
-            for _ in range(3):
-                line = spans(line, APOSTROPHES, lambda t: note("wiki", t))
+            while (new := spans(line, APOSTROPHES, lambda t: note("wiki", t))) != line:
+                line = new
         if "\\" in line:
             line = ESCAPE.sub(lambda m: keep(note("markdown", m.group(1))), line)
             if line.endswith("\\") and len(line) > 1:
@@ -332,16 +375,18 @@ class Reader:
         if "~~" in line or "==" in line:
             line = spans(line, MARKS, lambda t: note("markdown", t))
         if "*" in line or "_" in line:
-            for _ in range(3):
+            while True:
                 new = spans(spans(line, STARS, lambda t: note("markdown", t)), UNDERS, lambda t: note("markdown", t))
                 if new == line:
                     break
                 line = new
-        for _ in range(3):
-            if "\ue000" not in line:
-                break
-            line = re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m.group(1))] if int(m.group(1)) < len(kept) else "", line)
-        return line
+
+        def put_back(text: str, upto: int) -> str:
+            """What was kept, in its place; a text holds only such as were kept before it."""
+            return re.sub("\ue000(\\d{1,9})\ue001", lambda m: put_back(kept[k], k) if (k := int(m.group(1))) < upto else m.group(), text)
+
+        line = put_back(line, len(kept)) if kept else line
+        return line.translate(BACK) if foreign else line
 
     def tags(self, line: str, b: Block, keep: Callable[[str], str], note: Callable[..., str]) -> str:
         line = re.sub(r"<!--.*?-->", lambda m: note("html", ""), line)
@@ -381,12 +426,16 @@ class Reader:
             if name not in TAGS and ":" not in name and "-" not in name:
                 return m.group()
             note("html", "")
+            if self.cut and (name in CONTAINERS or name in LINES):
+                return f"\ue002{m.group(1)}{name}\ue003"
             if name[0] == "h" and name[1:].isdigit() and not m.group(1):
                 b.kind, b.level = "heading", int(name[1])
             elif name == "li" and b.kind == "paragraph":
                 b.kind = "list"
             elif name in ("td", "th") and not m.group(1) and m.start():
                 return " "
+            elif self.cut and name == "a":
+                return "\ue005" if m.group(1) else "\ue004"
             elif name == "a" and not m.group(1):
                 end = line.find("<", m.end())
                 b.linked += max(0, end - m.end())
@@ -432,7 +481,7 @@ class Reader:
             b.kind = "formula"
             return keep(note("latex", line))
         line = ACCENT.sub(lambda m: note("latex", unicodedata.normalize("NFC", (m.group(2) or m.group(3) or m.group(5)) + ACCENTS[m.group(1) or m.group(4)])), line)
-        for _ in range(10):
+        while True:
             new = SWITCH.sub(lambda m: note("latex", m.group(2)), line)
             new = COMMAND.sub(lambda m: self.command(m, b, note), new)
             if new == line:
@@ -464,34 +513,54 @@ def families(blocks: list[Block]) -> list[tuple[int, str]]:
 
 
 @dataclass
-class Section:
-    """A container of the tree: a heading with what stands under it."""
+class Node:
+    """A part of the tree: the note, a container (level -1), or a heading with what stands under it."""
 
     level: int
-    children: list[Section | list[Block]] = field(default_factory=list)
+    name: str = ""
+    children: list[Node | list[Block]] = field(default_factory=list)
     score: float = 0.0
+    size: int = 0
+    linked: int = 0
+
+    @property
+    def container(self) -> bool:
+        return self.level <= 0
+
 
+def tree(blocks: list[Block]) -> Node:
+    """Blocks under their headings and in their containers, runs of lines of one kind together.
 
-def tree(blocks: list[Block]) -> Section:
-    """Blocks under their headings, runs of lines of one kind together."""
-    root = Section(0)
+    A closing tag ends the innermost container of its name and all that is open inside; one without
+    a beginning does nothing.
+    """
+    root = Node(0)
     path, run = [root], None
-    for b in blocks:
-        if b.kind == "heading":
-            while len(path) > 1 and path[-1].level >= max(1, b.level):
-                path.pop()
-            section = Section(max(1, b.level), [[b]])
-            path[-1].children.append(section)
-            path.append(section)
-            run = None
-        elif b.kind == "blank":
-            run = None
-        else:
-            group = "code" if b.kind in ("code", "fence") else b.kind
-            if run is None or run[0] != group:
-                run = (group, [])
-                path[-1].children.append(run[1])
-            run[1].append(b)
+    for whole in blocks:
+        for b in whole.parts if whole.parts is not None else [whole]:
+            if isinstance(b, str):
+                run = None
+                if not b.startswith("/"):
+                    node = Node(-1, b)
+                    path[-1].children.append(node)
+                    path.append(node)
+                elif (k := next((k for k in range(len(path) - 1, 0, -1) if path[k].name == b[1:]), 0)) > 0:
+                    del path[k:]
+            elif b.kind == "heading":
+                while path[-1].level >= max(1, b.level):
+                    path.pop()
+                section = Node(max(1, b.level), children=[[b]])
+                path[-1].children.append(section)
+                path.append(section)
+                run = None
+            elif b.kind == "blank":
+                run = None
+            else:
+                group = "code" if b.kind in ("code", "fence") else b.kind
+                if run is None or run[0] != group:
+                    run = (group, [])
+                    path[-1].children.append(run[1])
+                run[1].append(b)
     return root
 
 
@@ -509,51 +578,73 @@ def points(lines: list[Block]) -> float:
     return (1 + len(re.findall("[,，、]", text)) + min(3, len(text) // 100)) * (1 - density)
 
 
-def score(section: Section) -> float:
-    """Sets the scores: a section gets its paragraphs' points and half of those of its sections."""
-    section.score = sum(score(c) / 2 if isinstance(c, Section) else points(c) for c in section.children)
-    return section.score
+def score(root: Node) -> Node:
+    """Sets the scores of the containers and gives the best, the outermost of equal ones.
 
+    A part passes its points to the container around it, half of them to the next one out, and a
+    sixth, a ninth and so on to those further out. A container's sum counts by the share of its text
+    that is no label of a link. Headings are no containers of their own.
+    """
+    found: list[Node] = []
+
+    def walk(node: Node, around: list[Node]) -> None:
+        if node.container:
+            around = [*around, node]
+            found.append(node)
+        for c in node.children:
+            if isinstance(c, Node):
+                walk(c, around)
+                continue
+            own, size, linked = points(c), sum(len(b.text) - b.text.count(" ") for b in c), sum(b.linked for b in c)
+            for k, outer in enumerate(reversed(around)):
+                outer.score += own if k == 0 else own / 2 if k == 1 else own / (3 * k)
+                outer.size += size
+                outer.linked += linked
 
-def best(root: Section) -> Section:
-    """The section with the highest score; the outermost of equal ones."""
-    top, todo = root, [root]
-    while todo:
-        s = todo.pop()
-        if s.score > top.score:
-            top = s
-        todo += [c for c in s.children if isinstance(c, Section)]
-    return top
+    walk(root, [])
+    for node in found:
+        node.score *= 1 - min(1.0, node.linked / node.size) if node.size else 0
+    return max(found, key=lambda n: n.score)
 
 
-def kept(root: Section) -> list[Block]:
-    """All parts but blocks of mere links.
+#: The share of the best container's score that one beside it needs.
+BESIDE = 0.2
 
-    Headings and lists always stay, so an index of links does. Another part stays if it has a
-    fiftieth of the best section's points, or if at most four fifths of its text are labels of
-    links, so that code, formulas and tables aren't lost for scoring low.
-    """
-    top, out = best(root).score, []
 
-    def walk(s: Section) -> None:
-        for c in s.children:
-            if isinstance(c, Section):
-                walk(c)
-                continue
-            if c[0].kind in ("heading", "list") or points(c) >= top / 50 or link_density(c) <= 0.8:
-                out.extend(c)
+def kept(root: Node) -> list[Block]:
+    """The best container whole, those beside it and its own outer ones that score a fifth of it, and
+    what stands in no container at all.
 
-    walk(root)
+    Of these, blocks of mere links go: parts other than headings and lists with over four fifths of
+    labels and under a fiftieth of the best score, so code, formulas and tables aren't lost for
+    scoring low; and inner containers that are mostly labels and score under a fifth.
+    """
+    best = score(root)
+    top, out = best.score, []
+
+    def holds(node: Node) -> bool:
+        return node is best or any(isinstance(c, Node) and holds(c) for c in node.children)
+
+    def walk(node: Node, inside: bool) -> None:
+        inside = inside or node is best
+        for c in node.children:
+            if not isinstance(c, Node):
+                if c[0].kind in ("heading", "list") or points(c) >= top / 50 or link_density(c) <= 0.8:
+                    out.extend(c)
+            elif not c.container or c.score >= BESIDE * top:
+                walk(c, inside)
+            elif inside and 2 * c.linked <= c.size or holds(c):
+                walk(c, inside)
+
+    walk(root, False)
     return out
 
 
 def clean(text: str) -> tuple[str, list[tuple[int, str]]]:
     """The clean text of a note, and the markup families of its lines."""
     blocks = Reader().read(text)
-    root = tree(blocks)
-    score(root)
     lines, last = [], None
-    for b in kept(root):
+    for b in kept(tree(blocks)):
         if last is not None and (b.row > last.row + 1 or b.kind == "heading" or last.kind == "heading"):
             lines.append("")
         if b.text or b.kind == "code":
