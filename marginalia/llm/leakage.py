@@ -39,12 +39,33 @@ class Items:
         self.vocabulary = sorted({w for t in texts for w in t})
         number = {w: k for k, w in enumerate(self.vocabulary)}
         self.words = [np.array([number[w] for w in t], dtype=np.int64) for t in texts]
-        where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, t in enumerate(self.words):
-            for at, gram in enumerate(grams(t, len(self.vocabulary))):
-                where[int(gram)].append((k, at))
-        self.where = dict(where)
-        self.grams = np.array(sorted(where), dtype=np.int64)
+        self.seeds = {n: self._index(n) for n in range(1, SEED + 1)}
+
+    def _index(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct runs of ``n`` words, where the items of each begin, and the items.
+
+        Under ``SEED`` words only items that are so short as a whole are in it.
+        """
+        own = [(k, grams(t, len(self.vocabulary), n)) for k, t in enumerate(self.words) if (len(t) == n or n == SEED) and len(t) >= n]
+        runs = np.concatenate([g for _, g in own]) if own else np.zeros(0, np.int64)
+        items = np.concatenate([np.full(len(g), k, np.int64) for k, g in own]) if own else np.zeros(0, np.int64)
+        order = np.lexsort((items, runs))
+        distinct, begins = np.unique(runs[order], return_index=True)
+        return distinct, np.append(begins, len(order)), items[order]
+
+    @property
+    def grams(self) -> np.ndarray:
+        """The distinct seeds."""
+        return self.seeds[SEED][0]
+
+    def holders(self, found: np.ndarray, n: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+        """For each run found, by its number, the items that have it: two arrays, place and item."""
+        distinct, begins, items = self.seeds[n]
+        slot = np.searchsorted(distinct, found)
+        sizes = begins[slot + 1] - begins[slot]
+        place = np.repeat(np.arange(len(found)), sizes)
+        inner = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return place, items[begins[slot][place] + inner]
 
     def groups(self, share: float) -> list[Shared]:
         """The items that have a seed, by length: of one group, the longest has under four times the words of the shortest."""
@@ -101,11 +122,11 @@ def numbered(ids: np.ndarray, groups: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(ids: np.ndarray, base: int) -> np.ndarray:
-    """A number for each run of ``SEED`` word ids; -1 where a word is in no item."""
-    if len(ids) < SEED:
+def grams(ids: np.ndarray, base: int, n: int = SEED) -> np.ndarray:
+    """A number for each run of ``n`` word ids; -1 where a word is in no item."""
+    if len(ids) < n:
         return np.zeros(0, np.int64)
-    parts = [ids[k : len(ids) - SEED + 1 + k] for k in range(SEED)]
+    parts = [ids[k : len(ids) - n + 1 + k] for k in range(n)]
     out = np.zeros(len(parts[0]), np.uint64)
     for p in parts:
         out = (out * np.uint64(base + 1) + p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -124,13 +145,14 @@ def coded(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray
     return ids, rows
 
 
-def hits(ids: np.ndarray, rows: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the batch's words where an item's seed stands, and the seeds."""
-    g = grams(ids, len(items.vocabulary))
-    if not len(g):
-        return g, g
-    same = rows[: len(g)] == rows[SEED - 1 :]
-    at = np.flatnonzero(same & (g >= 0) & np.isin(g, items.grams))
+def hits(ids: np.ndarray, rows: np.ndarray, items: Items, n: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the batch's words where a run of ``n`` words of an item stands, and the runs."""
+    g = grams(ids, len(items.vocabulary), n)
+    known = items.seeds[n][0]
+    if not len(g) or not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    slot = np.minimum(np.searchsorted(known, g), len(known) - 1)
+    at = np.flatnonzero((rows[: len(g)] == rows[n - 1 :]) & (g >= 0) & (known[slot] == g))
     return at, g[at]
 
 
@@ -252,19 +274,26 @@ def _leaks(shared: object, seeds: np.ndarray, least: int, min_share: float) -> C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         vocabulary = pa.array(items.vocabulary, pa.string())
-        wanted, groups = set(seeds.tolist()), items.groups(min_share) if min_share <= 1 else []
+        groups = items.groups(min_share) if min_share <= 1 else []
+        lengths = [n for n in range(1, SEED) if len(items.seeds[n][0])] if min_share <= 1 else []
         for batch in sliced(batches, "text"):
             ids, rows = coded(batch.column("text"), vocabulary)
             begins = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             at, found = hits(ids, rows, items)
-            pairs = {(int(rows[p]), k) for p, s in zip(at.tolist(), found.tolist(), strict=True) if s in wanted for k, _ in items.where[s]}
+            rare = np.isin(found, seeds)
+            place, held = items.holders(found[rare])
+            pairs = set(zip(rows[at[rare][place]].tolist(), held.tolist(), strict=True))
+            for n in lengths:
+                spots, found = hits(ids, rows, items, n)
+                place, held = items.holders(found, n)
+                pairs |= set(zip(rows[spots[place]].tolist(), held.tolist(), strict=True))
             for group in groups:
                 pairs |= edited(ids, begins, group, min_share)
             out = []
             for row, k in sorted(pairs):
                 item = items.words[k]
                 score, _, longest = align(item, ids[begins[row] : begins[row + 1]])
-                if longest >= least or score >= min_share * MATCH * len(item) and (longest >= SEED or len(item) >= least):
+                if longest >= least or score >= min_share * MATCH * len(item) and (longest >= min(SEED, len(item)) or len(item) >= least):
                     out.append((batch.column("doc_id")[row].as_py(), items.ids[k], len(item), score, longest))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
@@ -274,27 +303,31 @@ def _leaks(shared: object, seeds: np.ndarray, least: int, min_share: float) -> C
     return run
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, least: int = 12, min_share: float = 0.5, block: int = 20_000) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, least: int = 12, min_share: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
     """``(doc_id, item_id, item_words, score, longest_run, share)`` of documents that hold an item.
 
     A pair comes out if it shares ``least`` consecutive words, or if its best alignment (Smith-
     Waterman) reaches ``min_share`` of the score of the whole item, as edited copies do; an item of
-    fewer than ``least`` words must share a seed as well. No such pair is missed: for the first, of
-    every window of ``least`` item words the n-gram rarest in the corpus is a seed; for the second,
-    every piece of a document that holds as many of an item's pairs of words as such an alignment
-    needs is aligned. ``score`` and ``longest_run`` are those of the whole document.
-
-    The items are a stated query set, taken in blocks of ``block`` items, each searched in all
-    documents and small enough to send to every task. Nothing but counts and results leaves the
-    documents' partitions. Null and empty texts match nothing; an item shorter than a seed can't be
-    found; repeated rows of a document give one row.
+    fewer than ``least`` words must share a seed as well, and one shorter than a seed must stand in
+    the document whole. No such pair is missed: for the first, of every window of ``least`` item
+    words the n-gram rarest in the corpus is a seed; for the second, every piece of a document that
+    holds as many of an item's pairs of words as such an alignment needs is aligned. ``score`` and
+    ``longest_run`` are those of the whole document.
+
+    The items are a stated query set, taken in blocks of about ``block_bytes`` of text (and no less
+    than one item), each searched in all documents and small enough to send to every task. Nothing
+    but counts of a block's seeds and results leaves the documents' partitions. Null and empty texts
+    match nothing; repeated rows of a document give one row.
     """
     own = documents.select("doc_id", "text").where(F.length("text") > 0)
     items = eval_items.select("item_id", "text").where("item_id is not null").dropDuplicates(["item_id"])
-    blocks = -(-items.count() // block)
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["bytes"] // block_bytes)) if size["n"] else 0
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
+        if not rows:
+            continue
         held = Items([(r["item_id"], r["text"]) for r in rows])
         seeds = rare_seeds(held, count_seeds(own, held), least)
         shared = own.sparkSession.sparkContext.broadcast(held)
