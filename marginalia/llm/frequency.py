@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,13 +12,16 @@ from marginalia.llm import terms as T
 from marginalia.operators.corpus import notes_once
 
 
-def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in T.sliced(batches, "content", "tags"):
-        yield from T.counted("content", *T.words(part.column("content"), 3))
-        yield from T.counted("tags", *T.tags(part.column("tags")))
+def _partial_counts(letters: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in T.sliced(batches, "content", "tags"):
+            yield from T.counted("content", *T.words(part.column("content"), 3, letters))
+            yield from T.counted("tags", *T.tags(part.column("tags")))
 
+    return run
 
-def term_frequency(notes: DataFrame, rare_notes: int = 1, common_share: float = 0.2) -> DataFrame:
+
+def term_frequency(notes: DataFrame, rare_notes: int = 1, common_share: float = 0.2, letters: str = T.LETTERS) -> DataFrame:
     """``(field_name, term, occurrences, notes, mark)`` of every term of content and every tag.
 
     ``mark`` is ``rare`` for a term in at most ``rare_notes`` notes, ``common`` for one in at least
@@ -27,13 +30,15 @@ def term_frequency(notes: DataFrame, rare_notes: int = 1, common_share: float =
     after a shuffle of one row per distinct term and batch, so a term that fills a third of all
     tokens sends no more rows than any other.
 
+    ``letters`` is the character class that words of content are made of, ``\\p{L}`` for any script.
+
     Null and empty texts give no terms; notes without an id each count as a note of their own; an
     empty table gives no rows.
     """
     once = notes_once(notes.select("note_id", "indexed_at", "content", "tags"))
     totals = once.agg(F.count(F.lit(1)).alias("tags"), F.count("content").alias("content")).first()
     counts = (
-        once.select("content", "tags").mapInArrow(_partial_counts, T.COUNT_SCHEMA)
+        once.select("content", "tags").mapInArrow(_partial_counts(letters), T.COUNT_SCHEMA)
         .groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("notes").alias("notes"))
     )
     n = F.when(F.col("field_name") == "content", F.lit(totals["content"])).otherwise(F.lit(totals["tags"]))

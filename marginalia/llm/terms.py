@@ -36,12 +36,12 @@ def sliced(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.Reco
         yield from slices(batch, columns)
 
 
-def words(texts: pa.Array, least: int) -> tuple[pa.Array, np.ndarray]:
+def words(texts: pa.Array, least: int, letters: str = LETTERS) -> tuple[pa.Array, np.ndarray]:
     """Maximal runs of at least ``least`` letters, lower-cased, with the row each comes from.
 
     Null and empty texts give no term. Works on whole texts, whatever their length.
     """
-    spaced = pc.replace_substring_regex(texts, f"[^{LETTERS}]+", " ")
+    spaced = pc.replace_substring_regex(texts, f"[^{letters}]+", " ")
     return _flat(pc.split_pattern(spaced, " "), least)
 
 

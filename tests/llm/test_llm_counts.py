@@ -177,7 +177,7 @@ def test_leaks_against_brute_force(corpus):
     documents, texts, d, i = corpus
     want = brute_leaks([x for x in documents if x[1]], [x for x in texts if x[1]], 12)
     assert rows(leakage.found(d, i)) == want and len(want) > 10
-    blocks = leakage.leaks(d, i, block=4).where("longest_run >= 12").select("doc_id", "item_id")
+    blocks = leakage.leaks(d, i, block_bytes=100).where("longest_run >= 12").select("doc_id", "item_id")
     assert rows(blocks) == want
     every = rows(leakage.leaks(d, i).select("doc_id", "item_id"))
     assert (500, 3) in every and (500, 3) not in want
@@ -325,3 +325,39 @@ def test_common_terms_join_alike(make_notes):
     plain = rows(distinctive.term_weights(df))
     assert rows(distinctive.term_weights(df, broadcast_terms=2)) == plain and len(plain) == 8 * 4
     assert rows(distinctive.term_weights(df, broadcast_terms=1).where("term = 'glass'"))[0][4] == 8
+
+
+def test_short_items_and_recall_of_edits(spark):
+    """Items of one to three words are found whole; copies with every so-manieth word changed all are, by their share."""
+    rng = random.Random(8)
+    vocabulary = [f"word{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice((14, 25, 40, 80))))) for k in range(40)] + [(100, "Zebra"), (101, "blue zebra"), (102, "one blue zebra")]
+    docs, true = [], set()
+    for k in range(200):
+        i, text = items[rng.randrange(40)]
+        words = text.split()
+        every, begin = rng.choice((3, 4, 5, 6, 8, 11)), rng.randrange(3)
+        for at in range(begin, len(words), every):
+            words[at : at + 1] = rng.choice(([], ["new"], [words[at], "more"]))
+        docs.append((k, " ".join(rng.choices(vocabulary, k=60) + words + rng.choices(vocabulary, k=60))))
+        true.add((k, i))
+    docs += [(900, "the blue, Zebra runs"), (901, "one blue sky"), (902, None), (903, "")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in leakage.leaks(d, i, block_bytes=2000).collect()}
+    assert {k for k in got if k[1] >= 100} == {(900, 100), (900, 101)}
+    own = dict(docs)
+    vocab = {w: n for n, w in enumerate({w for _, t in [*items, *docs] for w in leakage.words(t)})}
+    code = lambda t: np.array([vocab[w] for w in leakage.words(t)])
+    reach = set()
+    for doc, item in true:
+        score, _, longest = leakage.align(code(dict(items)[item]), code(own[doc]))
+        n = len(code(dict(items)[item]))
+        if longest >= 12 or score >= n * leakage.MATCH * 0.5:
+            reach.add((doc, item))
+    assert reach <= set(got) and len(reach) > 60
+
+
+def test_terms_of_any_script(make_notes):
+    df = make_notes({"note_id": 1, "content": "печь Печь kiln 2x"}, {"note_id": 2, "content": "печь"})
+    got = {r["term"]: (r["occurrences"], r["notes"]) for r in frequency.term_frequency(df, letters=r"\p{L}").where("field_name = 'content'").collect()}
+    assert got == {"печь": (3, 2), "kiln": (1, 1)}
