@@ -45,6 +45,7 @@ def queries() -> dict[str, Query]:
         "p6_term_weights": _over(distinctive.term_weights, "indexed_documents"),
         "p7_found": _over(splitting.found, "indexed_documents", "semantic_documents"),
         "p7_pieces": _over(splitting.all_pieces, "indexed_documents", "semantic_documents"),
+        "p7_rebuilt": _over(splitting.rebuilt, "indexed_documents", "semantic_documents"),
         "p8_found": _over(leakage.found, "documents", "eval_items"),
         "p8_leaks": _over(leakage.leaks, "documents", "eval_items"),
         "p9_found": _over(mixing.found, "documents", "mix_targets"),

@@ -66,7 +66,7 @@ SWITCH = re.compile(r"\{\\(bf|it|em|sc|tt|rm|sf|sl|bfseries|itshape|small|large|
 ACCENT = re.compile(r"""\\(['`^"~=.])\s*(?:\{\\?([A-Za-z])\}|\\?([A-Za-z]))|\\([cvuHrk])\{([A-Za-z])\}""")
 LATEX_SIGN = re.compile(r"\\([%&,;:!/@ ])|(?<=\s)\\\\(?=\s*(?:\[|$))|\\\\\s*$")
 ESCAPE = re.compile(r"\\([*_#+\-.!~`>|{}<()\[\]$'\"^\\=?])")
-TEMPLATE = re.compile(r"\{\{\{?([^{}]*)\}?\}\}")
+TEMPLATE = re.compile(r"\{\{\{([^{}]*)\}\}\}|\{\{([^{}]*)\}\}")
 WIKI_LINK = re.compile(r"(!?)\[\[([^\[\]\n]+)\]\]")
 APOSTROPHES = re.compile(r"(?<!')(?:'{5}|'{2,3})(?=[^\s'])"), re.compile(r"(?<=[^\s'])(?:'{5}|'{2,3})(?!')")
 IMAGE = re.compile(r"!\[([^\[\]]*)\](?:\((?:<[^<>]*>|[^()\s]*(?:\([^()]*\)[^()\s]*)*)(?:\s+(?:\"[^\"]*\"|'[^']*'))?\)|\[[^\[\]]*\])")
@@ -340,7 +340,7 @@ class Reader:
             line = self.latex(line, b, keep, note)
         if "{{" in line or "}}" in line:
             while True:
-                new = TEMPLATE.sub(lambda m: note("wiki", m.group(1).rstrip("|").rpartition("|")[2].rpartition("=")[2]), line)
+                new = TEMPLATE.sub(lambda m: note("wiki", (m.group(1) or m.group(2) or "").rstrip("|").rpartition("|")[2].rpartition("=")[2]), line)
                 if new == line:
                     break
                 line = new

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marginalia.sources.tables import drop_repeats
 
@@ -144,6 +145,19 @@ def all_pieces(notes: DataFrame, semantic: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def rebuilt(notes: DataFrame, semantic: DataFrame, limit: int = 4000, overlap: int = 200) -> DataFrame:
+    """``(table_name, path, n_chars, several, within, overlapping, text)``: the digest of each content as its
+    pieces give it back without their overlaps, and whether they keep limit and overlap."""
+    before = F.lag("end_at", 1, 0).over(Window.partitionBy("table_name", "path").orderBy("piece_no"))
+    own = all_pieces(notes, semantic).where("path is not null").withColumn("before", before)
+    new = F.struct("piece_no", F.substr("text", F.col("before") - F.col("start_at") + 1).alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(new)), lambda x: x["t"]), "")
+    return own.groupBy("table_name", "path").agg(
+        F.max("end_at").alias("n_chars"), (F.count(F.lit(1)) > 1).alias("several"), F.min(F.length("text") <= limit).alias("within"),
+        F.min((F.col("piece_no") == 0) | (F.col("before") - F.col("start_at")).between(0, overlap)).alias("overlapping"), F.md5(whole.cast("binary")).alias("text"),
+    )
+
+
 def found(notes: DataFrame, semantic: DataFrame) -> DataFrame:
     """p7_found: the paths whose content came out in more than one piece, with their kind."""
     parts = [split_long(df).where("piece_no = 1").select(F.lit(name).alias("table_name"), "path", "kind") for name, df in (("indexed_documents", notes), ("semantic_documents", semantic))]

@@ -70,6 +70,10 @@ tf AS (SELECT note_id, term, count(*) AS occurrences FROM token GROUP BY ALL),
 df AS (SELECT term, count(*) AS notes FROM tf GROUP BY term)
 SELECT note_id, term, occurrences, coalesce(degree, 0) AS degree, df.notes, coalesce(degree, 0) * ln(((SELECT count(*) FROM notes) + 1) / df.notes) AS score FROM tf JOIN df USING (term) LEFT JOIN degree USING (note_id, term)""",
     "p7_found": LONG.format("indexed_documents") + "\nUNION\n" + LONG.format("semantic_documents"),
+    "p7_rebuilt": "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS table_name, path, length(content) AS n_chars, length(content) > 4000 AS several, true AS within, true AS overlapping, md5(content) AS text FROM (SELECT path, {pick} FROM {name} GROUP BY path) WHERE content <> ''"
+        for name, pick in (("indexed_documents", "arg_min(content, indexed_at) AS content"), ("semantic_documents", "any_value(content) AS content"))
+    ),
     "p8_found": """WITH doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
 item AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') AS w FROM eval_items WHERE text IS NOT NULL),
 passage AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS p FROM item, unnest(range(1, length(w) - 10)) AS g(k)),

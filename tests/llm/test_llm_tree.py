@@ -36,9 +36,9 @@ def test_a_note_outside_containers_is_kept_whole():
     assert all(x in clean for x in ("# Note", "Some text.", "a callout", "more text", "- a", "- b", "second, callout"))
 
 
-def test_unpaired_tags_do_no_harm():
-    for note in ("</div>a</article>", "<div>a\n\nb", "<nav>a</div></nav>b", "<article></article>", "<div><div><div>x</div>"):
-        assert set("ab") & set(note) <= set(M.clean(note)[0]) | {"a", "b"} - set(note) or M.clean(note)[0] != ""
+@pytest.mark.parametrize("note,expected", [("</div>a</article>", "a"), ("<div>a\n\nb", "a\n\nb"), ("<nav>a</div></nav>b", "a\nb"), ("<article></article>", ""), ("<div><div><div>x</div>", "x")])
+def test_unpaired_tags_do_no_harm(note, expected):
+    assert M.clean(note)[0] == expected
 
 
 def test_scores_pass_to_ancestors():
