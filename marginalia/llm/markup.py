@@ -518,6 +518,7 @@ class Node:
 
     level: int
     name: str = ""
+    outer: Node | None = None  # the container around it
     children: list[Node | list[Block]] = field(default_factory=list)
     score: float = 0.0
     size: int = 0
@@ -527,6 +528,11 @@ class Node:
     def container(self) -> bool:
         return self.level <= 0
 
+    @property
+    def around(self) -> Node:
+        """The container that its parts stand in."""
+        return self if self.container or self.outer is None else self.outer
+
 
 def tree(blocks: list[Block]) -> Node:
     """Blocks under their headings and in their containers, runs of lines of one kind together.
@@ -541,7 +547,7 @@ def tree(blocks: list[Block]) -> Node:
             if isinstance(b, str):
                 run = None
                 if not b.startswith("/"):
-                    node = Node(-1, b)
+                    node = Node(-1, b, path[-1].around)
                     path[-1].children.append(node)
                     path.append(node)
                 elif (k := next((k for k in range(len(path) - 1, 0, -1) if path[k].name == b[1:]), 0)) > 0:
@@ -549,7 +555,7 @@ def tree(blocks: list[Block]) -> Node:
             elif b.kind == "heading":
                 while path[-1].level >= max(1, b.level):
                     path.pop()
-                section = Node(max(1, b.level), children=[[b]])
+                section = Node(max(1, b.level), "", path[-1].around, [[b]])
                 path[-1].children.append(section)
                 path.append(section)
                 run = None
@@ -585,26 +591,25 @@ def score(root: Node) -> Node:
     sixth, a ninth and so on to those further out. A container's sum counts by the share of its text
     that is no label of a link. Headings are no containers of their own.
     """
-    found: list[Node] = []
-
-    def walk(node: Node, around: list[Node]) -> None:
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
         if node.container:
-            around = [*around, node]
             found.append(node)
         for c in node.children:
             if isinstance(c, Node):
-                walk(c, around)
                 continue
             own, size, linked = points(c), sum(len(b.text) - b.text.count(" ") for b in c), sum(b.linked for b in c)
-            for k, outer in enumerate(reversed(around)):
+            outer, k = node.around, 0
+            while outer is not None:
                 outer.score += own if k == 0 else own / 2 if k == 1 else own / (3 * k)
                 outer.size += size
                 outer.linked += linked
-
-    walk(root, [])
+                outer, k = outer.outer, k + 1
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     for node in found:
         node.score *= 1 - min(1.0, node.linked / node.size) if node.size else 0
-    return max(found, key=lambda n: n.score)
+    return max(found, key=lambda n: n.score)  # the first of equal ones, so the outermost
 
 
 #: The share of the best container's score that one beside it needs.
@@ -621,22 +626,18 @@ def kept(root: Node) -> list[Block]:
     """
     best = score(root)
     top, out = best.score, []
-
-    def holds(node: Node) -> bool:
-        return node is best or any(isinstance(c, Node) and holds(c) for c in node.children)
-
-    def walk(node: Node, inside: bool) -> None:
-        inside = inside or node is best
-        for c in node.children:
-            if not isinstance(c, Node):
-                if c[0].kind in ("heading", "list") or points(c) >= top / 50 or link_density(c) <= 0.8:
-                    out.extend(c)
-            elif not c.container or c.score >= BESIDE * top:
-                walk(c, inside)
-            elif inside and 2 * c.linked <= c.size or holds(c):
-                walk(c, inside)
-
-    walk(root, False)
+    towards, at = set(), best
+    while at is not None:
+        towards.add(id(at))
+        at = at.outer
+    todo: list[tuple[Node | list[Block], bool]] = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        if not isinstance(node, Node):
+            if node[0].kind in ("heading", "list") or points(node) >= top / 50 or link_density(node) <= 0.8:
+                out.extend(node)
+        elif not node.container or id(node) in towards or node.score >= BESIDE * top or inside and 2 * node.linked <= node.size:
+            todo += [(c, inside or node is best) for c in reversed(node.children)]
     return out
 
 

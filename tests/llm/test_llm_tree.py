@@ -41,6 +41,12 @@ def test_unpaired_tags_do_no_harm(note, expected):
     assert M.clean(note)[0] == expected
 
 
+def test_containers_of_any_depth():
+    assert M.clean("<div>\n" * 3000 + "deep, text")[0] == "deep, text"
+    assert M.clean("<div>" * 3000 + "deep" + "</div>" * 3000)[0] == "deep"
+    assert M.clean("## a\n<div>\n## b\n" * 400)[0].count("## b") == 400
+
+
 def test_scores_pass_to_ancestors():
     root = M.tree(M.Reader().read("<main>\n<div>\none, two, three\n</div>\n</main>"))
     best = M.score(root)
