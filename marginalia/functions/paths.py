@@ -54,8 +54,9 @@ def is_excluded(path: Column, excluded: list[str]) -> Column:
 
 
 def is_indexable(path: Column, extensions: tuple[str, ...] = ("md",), excluded: list[str] | None = None, ignored: list[str] | None = None) -> Column:
-    """Extension allowed (case counts), no drawing, not excluded, not ignored by a host pattern."""
-    keep = extension(path).isin(*extensions) & ~F.contains(path, F.lit("excalidraw.md")) & ~is_excluded(path, excluded or [])
+    """A file, not a folder (whose path ends in a slash), of an allowed extension (case counts), no drawing,
+    not excluded, not ignored by a host pattern."""
+    keep = ~path.endswith("/") & extension(path).isin(*extensions) & ~F.contains(path, F.lit("excalidraw.md")) & ~is_excluded(path, excluded or [])
     for pattern in ignored or []:
         keep = keep & ~path.rlike(pattern)
     return keep

@@ -13,8 +13,8 @@ def one(spark, column, value, kind="string"):
 @pytest.mark.parametrize(
     "path,base,ext,folder",
     [
-        ("/folder/file.txt", "file", "txt", "/folder/"), ("/folder/my.file.name.with.dots.tar.gz", "my.file.name.with.dots.tar", "gz", "/folder/"), ("/folder/myfile", "myfile", "", "/folder/"),
-        ("/folder/.hiddenfile.txt", ".hiddenfile", "txt", "/folder/"), ("path/to/file.txt", "file", "txt", "path/to/"), ("/file.txt", "file", "txt", "./"), ("", "", "", "./"),
+        ("/shelf/loan.txt", "loan", "txt", "/shelf/"), ("/shelf/tide.2024.table.bak.zip", "tide.2024.table.bak", "zip", "/shelf/"), ("/shelf/plain", "plain", "", "/shelf/"),
+        ("/shelf/.secret.md", ".secret", "md", "/shelf/"), ("deep/er/leaf.md", "leaf", "md", "deep/er/"), ("/top.md", "top", "md", "./"), ("", "", "", "./"),
     ],
 )
 def test_paths(spark, path, base, ext, folder):
@@ -105,3 +105,8 @@ def test_text_cleaning(spark):
     assert one(spark, text.escape_html, "<a&b>") == "&lt;a&amp;b&gt;"
     assert one(spark, text.is_large_charset, "潮汐ab") is True
     assert one(spark, text.strip_spaces, " a  b\t") == "ab"
+
+
+def test_folders_are_no_files(spark):
+    rows = spark.createDataFrame([("a/b.md/",), ("a/b.md",), ("a/b/",), (None,)], "path string")
+    assert [r[0] for r in rows.select(paths.is_indexable(F.col("path"))).collect()] == [False, True, False, None]
