@@ -213,6 +213,11 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
     return found.select("path", "rank", "similarity", F.size("items").alias("n_items"))
 
 
+def _snippets(spark: SparkSession, d: str) -> DataFrame:
+    docs = docs_of(spark, d)
+    return snippets.snippets(docs, corpus.split_lines(docs, "note_id", "content"), TERMS, "furnace glass harbour")
+
+
 def _line_snippets(spark: SparkSession, d: str) -> DataFrame:
     own = lines_of(spark, d)
     return snippets.line_snippets(lines.top_lines(own, ["furnace"]), ["furnace"], "furnace")
@@ -272,7 +277,7 @@ def queries() -> dict[str, Query]:
         "context_neighbours": lambda s, d: snippets.neighbours(*_hits(s, d), 2, 1),
         "context_above": lambda s, d: snippets.context_budget(*_hits(s, d), 3, 180, True),
         "context_below": lambda s, d: snippets.context_budget(*_hits(s, d), 3, 200, False),
-        "snippets": lambda s, d: snippets.snippets(docs_of(s, d), lines_of(s, d), TERMS, "furnace glass harbour"),
+        "snippets": _snippets,
         "truncate_limits": lambda s, d: _values(s, [(k, w, x.lines_before, x.lines_after, x.chars_before, x.chars_after, x.least) for (k, w), x in snippets.LIMITS.items()], "kind string, wide boolean, lines_before int, lines_after int, chars_before int, chars_after int, least int"),
         "in_file_prefilter": lambda s, d: lines_of(s, d).where(F.col("text").rlike(lines.subsequence_pattern("glsfur"))).select("note_id", "row_no"),
         "in_file_fuzzy": lambda s, d: lines.fuzzy_lines(lines_of(s, d), "gls fur", 30).select("note_id", "row_no", "score", F.array_join("positions", " ").alias("positions")),
@@ -551,5 +556,6 @@ SELECT note_id, CASE WHEN a + b + c = 0 THEN 'other' WHEN a >= greatest(b, c) TH
     "change_log_lww": OPS + "SELECT vault, path, op, op_time, op_id FROM (SELECT *, row_number() OVER (PARTITION BY vault, path, op ORDER BY op_time DESC NULLS LAST, op_id DESC) AS r FROM ops) WHERE r = 1",
     "apply_changes": OPS + ", net AS (SELECT vault, path, op FROM (SELECT *, row_number() OVER (PARTITION BY vault, path ORDER BY op_time DESC NULLS LAST, op_id DESC) AS r FROM ops) WHERE r = 1) SELECT vault, path FROM (SELECT vault, path FROM indexed_documents WHERE path IS NOT NULL UNION SELECT vault, path FROM net WHERE op = 'add') p WHERE NOT EXISTS (SELECT 1 FROM net WHERE net.vault = p.vault AND net.path = p.path AND op = 'delete')",
     "last_query": "SELECT arg_max(props, event_id) AS query FROM events",
+    "semantic_topk_each": "SELECT query_id, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE r <= 10",
     "semantic_topk": "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10",
 }
