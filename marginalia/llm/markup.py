@@ -518,27 +518,31 @@ class Node:
 
     level: int
     name: str = ""
-    outer: Node | None = None  # the container around it
+    outer: Node | None = None  # what it stands in
     children: list[Node | list[Block]] = field(default_factory=list)
     score: float = 0.0
     size: int = 0
     linked: int = 0
+    stray: bool = False  # a tag that is never closed holds nothing
 
     @property
     def container(self) -> bool:
-        return self.level <= 0
+        return self.level <= 0 and not self.stray
 
     @property
     def around(self) -> Node:
         """The container that its parts stand in."""
-        return self if self.container or self.outer is None else self.outer
+        node = self
+        while not node.container and node.outer is not None:
+            node = node.outer
+        return node
 
 
 def tree(blocks: list[Block]) -> Node:
     """Blocks under their headings and in their containers, runs of lines of one kind together.
 
-    A closing tag ends the innermost container of its name and all that is open inside; one without
-    a beginning does nothing.
+    A closing tag ends the innermost container of its name; one without a beginning does nothing, and
+    a beginning without an end is no container.
     """
     root = Node(0)
     path, run = [root], None
@@ -547,15 +551,17 @@ def tree(blocks: list[Block]) -> Node:
             if isinstance(b, str):
                 run = None
                 if not b.startswith("/"):
-                    node = Node(-1, b, path[-1].around)
+                    node = Node(-1, b, path[-1])
                     path[-1].children.append(node)
                     path.append(node)
                 elif (k := next((k for k in range(len(path) - 1, 0, -1) if path[k].name == b[1:]), 0)) > 0:
+                    for node in path[k + 1 :]:
+                        node.stray = True
                     del path[k:]
             elif b.kind == "heading":
                 while path[-1].level >= max(1, b.level):
                     path.pop()
-                section = Node(max(1, b.level), "", path[-1].around, [[b]])
+                section = Node(max(1, b.level), "", path[-1], [[b]])
                 path[-1].children.append(section)
                 path.append(section)
                 run = None
@@ -567,6 +573,8 @@ def tree(blocks: list[Block]) -> Node:
                     run = (group, [])
                     path[-1].children.append(run[1])
                 run[1].append(b)
+    for node in path[1:]:
+        node.stray = True
     return root
 
 
@@ -605,20 +613,20 @@ def score(root: Node) -> Node:
                 outer.score += own if k == 0 else own / 2 if k == 1 else own / (3 * k)
                 outer.size += size
                 outer.linked += linked
-                outer, k = outer.outer, k + 1
+                outer, k = outer.outer and outer.outer.around, k + 1
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     for node in found:
         node.score *= 1 - min(1.0, node.linked / node.size) if node.size else 0
     return max(found, key=lambda n: n.score)  # the first of equal ones, so the outermost
 
 
-#: The share of the best container's score that one beside it needs.
-BESIDE = 0.2
+#: The share of the best container's score that one beside it needs, and the characters that make it prose if few are labels.
+BESIDE, PROSE = 0.2, 80
 
 
 def kept(root: Node) -> list[Block]:
-    """The best container whole, those beside it and its own outer ones that score a fifth of it, and
-    what stands in no container at all.
+    """The best container whole, those beside it that score a fifth of it or are prose with at most a
+    quarter of labels, and what stands in no container at all.
 
     Of these, blocks of mere links go: parts other than headings and lists with over four fifths of
     labels and under a fiftieth of the best score, so code, formulas and tables aren't lost for
@@ -629,14 +637,14 @@ def kept(root: Node) -> list[Block]:
     towards, at = set(), best
     while at is not None:
         towards.add(id(at))
-        at = at.outer
+        at = at.outer and at.outer.around
     todo: list[tuple[Node | list[Block], bool]] = [(root, False)]
     while todo:
         node, inside = todo.pop()
         if not isinstance(node, Node):
             if node[0].kind in ("heading", "list") or points(node) >= top / 50 or link_density(node) <= 0.8:
                 out.extend(node)
-        elif not node.container or id(node) in towards or node.score >= BESIDE * top or inside and 2 * node.linked <= node.size:
+        elif not node.container or id(node) in towards or node.score >= BESIDE * top or 4 * node.linked <= node.size >= PROSE or inside and 2 * node.linked <= node.size:
             todo += [(c, inside or node is best) for c in reversed(node.children)]
     return out
 

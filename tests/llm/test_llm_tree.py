@@ -47,6 +47,13 @@ def test_containers_of_any_depth():
     assert M.clean("## a\n<div>\n## b\n" * 400)[0].count("## b") == 400
 
 
+def test_prose_beside_the_best_and_behind_stray_tags_stays():
+    long = "The kiln, which is old, still burns, and its keeper, who is older, feeds it, night after night, without a word. " * 8
+    note = f"<div>A callout that stands by itself and has nothing but some eighty letters of plain prose without any link in it.</div>\n<div>stray\n{long}\n<div>\n{long}\n</div>\nshort end"
+    clean, _ = M.clean(note)
+    assert "A callout" in clean and "stray" in clean and "short end" in clean and clean.count("The kiln") == 16
+
+
 def test_scores_pass_to_ancestors():
     root = M.tree(M.Reader().read("<main>\n<div>\none, two, three\n</div>\n</main>"))
     best = M.score(root)
