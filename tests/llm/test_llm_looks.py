@@ -1,6 +1,7 @@
 """p2: the public table of look-alikes, and classes."""
 
 import pytest
+from pyspark import SparkContext
 
 from marginalia.llm import lookalikes as L
 
@@ -41,3 +42,21 @@ def test_large_classes_are_spread_alike(make_notes, monkeypatch):
     plain = sorted(map(tuple, L.same_looking(notes).collect()))
     monkeypatch.setattr(L, "LARGE", 2)
     assert sorted(map(tuple, L.same_looking(notes).collect())) == plain and len(plain) >= 32
+
+
+class WithoutIcu:
+    """A JVM whose packages under com hold no classes."""
+
+    def __init__(self, jvm):
+        self.jvm = jvm
+
+    def __getattr__(self, name):
+        return getattr(self.jvm.absent if name == "com" else self.jvm, name)
+
+
+@pytest.mark.parametrize("run", [L.classes, L.same_looking, L.normalized])
+def test_a_missing_table_is_an_error(make_notes, monkeypatch, run):
+    notes = make_notes({"note_id": 1, "basename": "Ꭺpple"}, {"note_id": 2, "basename": "Apple"}, extra=["1 as key", "2 as stored"])
+    monkeypatch.setattr(SparkContext, "_jvm", WithoutIcu(SparkContext._jvm))
+    with pytest.raises(RuntimeError, match="SpoofChecker"):
+        run(notes).collect()
