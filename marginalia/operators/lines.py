@@ -42,9 +42,10 @@ def top_lines(lines: DataFrame, terms: list[str], key: str = "note_id", k: int =
     return matching_lines(lines, terms, prefix).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: Numbers of lines times columns that fuzzy matching holds at a time.
+#: Characters of text times characters of the query that fuzzy matching works on at a time, whatever the lengths of the lines.
 AT_ONCE = 1 << 20
-LOW = -(10**9)
+#: Kinds of characters, and what sets the lines that are worked on together apart.
+ALNUM, LOWER, UPPER, DIGIT, APART = 1, 2, 4, 8, 1 << 40
 
 
 def fuzzy_matches(texts: list[str], query: str) -> list[tuple[int, list[int]] | None]:
@@ -54,66 +55,127 @@ def fuzzy_matches(texts: list[str], query: str) -> list[tuple[int, list[int]] |
     that follows the one before at once gets at least what the first of its run got; less for gaps.
     Case counts only if the query has capitals. None if the query is no subsequence.
 
-    Texts of like length are worked on together, a vector step for each character of the query; the
-    penalties of gaps are settled by a running maximum.
+    Texts are worked on end to end, a vector step for each character of the query over the places
+    that have it; the penalties of gaps are settled by a running maximum. A long text is worked on
+    in stretches. So memory depends neither on the longest text nor on how lengths are mixed.
     """
     if not query:
         return [(0, []) for _ in texts]
     out: list[tuple[int, list[int]] | None] = [None] * len(texts)
-    order = sorted((k for k, t in enumerate(texts) if t), key=lambda k: len(texts[k]))
-    while order:
-        part: list[int] = []
-        while order and (not part or len(texts[order[-1]]) * (len(part) + 1) <= max(AT_ONCE, len(texts[part[0]]))):
-            part.append(order.pop())
-        for k, found in zip(part, _aligned([texts[k] for k in part], query), strict=True):
-            out[k] = found
+    most = max(AT_ONCE // len(query), 1 << 10)
+    part, size = [], 0
+    for k, text in enumerate(texts):
+        if text and len(text) > most:
+            out[k] = _aligned_long(text, query, most)
+        elif text:
+            if size + len(text) > most:
+                _align([texts[i] for i in part], query, part, out)
+                part, size = [], 0
+            part.append(k)
+            size += len(text)
+    if part:
+        _align([texts[i] for i in part], query, part, out)
     return out
 
 
-def _aligned(texts: list[str], query: str) -> list[tuple[int, list[int]] | None]:
-    rows, n = len(texts), max(map(len, texts))
-    lengths = np.array([len(t) for t in texts])
-    row = np.repeat(np.arange(rows), lengths)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    distinct, code = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-    signs = [chr(c) for c in distinct.tolist()]
-    lowered = [c.lower() if query == query.lower() else c for c in signs]
-    hay, bonus = np.zeros((rows, n), np.int64), np.zeros((rows, n), np.int64)
-    hay[row, place] = np.array([ord(c) if len(c) == 1 else -1 for c in lowered])[code]
-    alnum, lower, upper, digit = (np.array([kind(c) for c in signs])[code] for kind in (str.isalnum, str.islower, str.isupper, str.isdigit))
-    before = [np.concatenate([[False], x[:-1]]) & (place > 0) for x in (alnum, lower, digit)]
-    bonus[row, place] = np.where(alnum & ~before[0], 8, np.where(before[1] & upper | digit & ~before[2], 7, 0))
-    at = np.arange(n)
-    best, chunk, links = np.full((rows, n), LOW), np.zeros((rows, n), np.int64), []
+def _align(texts: list[str], query: str, ids: list[int], out: list[tuple[int, list[int]] | None]) -> None:
+    """Puts the alignments of some texts into ``out`` at ``ids``."""
+    steps = _steps("".join(texts), np.cumsum([len(t) for t in texts]), query, [[] for _ in query])
+    _, row, score, _, _ = steps[-1]
+    if not len(row):
+        return
+    begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    best = np.maximum.reduceat(score, begins)
+    tops = np.flatnonzero(score == np.repeat(best, np.diff(np.append(begins, len(row)))))
+    ends = tops[np.concatenate([[True], row[tops][1:] != row[tops][:-1]])]
+    columns, at = np.empty((len(ends), len(query)), np.int64), ends
+    for q in range(len(query) - 1, -1, -1):
+        columns[:, q], at = steps[q][0][at], steps[q][4][at]
+    columns -= np.cumsum([0, *(len(t) for t in texts)])[row[ends]][:, None]
+    for k, x, c in zip(row[ends].tolist(), best.tolist(), columns.tolist(), strict=True):
+        out[ids[k]] = (x, c)
+
+
+def _aligned_long(text: str, query: str, size: int) -> tuple[int, list[int]] | None:
+    """The alignment of one text, in stretches of ``size``.
+
+    Of each stretch go on, for each character of the query, the alignment that any gap would start
+    from and that in the last column, which a run may follow.
+    """
+    held: list[list[tuple[int, int, int, list[int]]]] = [[] for _ in query]
+    found: tuple[int, list[int]] | None = None
+    for at in range(0, len(text), size):
+        own = text[at : at + size]
+        steps = _steps(own, np.array([len(own)]), query, held, at, text[at - 1 : at])
+
+        def trail(q: int, k: int, steps: list = steps, held: list = held) -> list[int]:
+            back = []
+            while q >= 0 and k >= len(held[q]):
+                back.append(int(steps[q][0][k]))
+                q, k = q - 1, int(steps[q][4][k])
+            return (held[q][k][3] if q >= 0 else []) + back[::-1]
+
+        score = steps[-1][2]
+        if len(score) and (found is None or score.max() > found[0]):
+            found = int(score.max()), trail(len(query) - 1, int(score.argmax()))
+        kept = []
+        for q, (place, _, score, chunk, _) in enumerate(steps[:-1]):
+            ks = sorted({int((score + place).argmax()), *np.flatnonzero(place == at + len(own) - 1).tolist()}) if len(place) else []
+            kept.append([(int(place[k]), int(score[k]), int(chunk[k]), trail(q, k)) for k in ks])
+        held = [*kept, []]
+    return found
+
+
+def _steps(text: str, ends: np.ndarray, query: str, held: list[list[tuple[int, int, int, list[int]]]], at: int = 0, before: str = "") -> list[tuple[np.ndarray, ...]]:
+    """For each character of the query ``(place, row, score, chunk, link)`` of the best alignments that
+    end with it, by place, those of ``held`` first; ``link`` is where the one before is in its step.
+
+    ``text`` is several texts end to end, of which ``ends`` has the ends, or the stretch of a text
+    from place ``at`` on, which follows the character ``before``.
+    """
+    codes = np.frombuffer(((before or " ") + text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.zeros(0x110000, bool)
+    seen[codes] = True
+    signs = np.flatnonzero(seen)
+    chars, fold = [chr(c) for c in signs.tolist()], query == query.lower()
+    number = {c: k for k, c in enumerate(dict.fromkeys(query), 1)}
+    wanted, kinds = np.zeros(len(seen), np.int32), np.zeros(len(seen), np.uint8)
+    wanted[signs] = [number.get(c.lower() if fold else c, 0) for c in chars]
+    kinds[signs] = [ALNUM * c.isalnum() + LOWER * c.islower() + UPPER * c.isupper() + DIGIT * c.isdigit() for c in chars]
+    which = wanted[codes[1:]]
+    spots = np.flatnonzero(which)
+    rows, which = np.searchsorted(ends, spots, side="right"), which[spots]
+    kind, last = kinds[codes[spots + 1]], kinds[codes[spots]]
+    last[(rows > 0) & (spots == ends[rows - 1])] = 0
+    word = (kind & ALNUM > 0) & (last & ALNUM == 0)
+    turn = (last & LOWER > 0) & (kind & UPPER > 0) | (kind & DIGIT > 0) & (last & DIGIT == 0)
+    bonuses = np.where(word, 8, np.where(turn, 7, 0))
+    spots += at
+    of = {c: np.flatnonzero(which == k) for c, k in number.items()}
+    steps: list[tuple[np.ndarray, ...]] = []
     for q, want in enumerate(query):
-        same = hay == ord(want)
+        place, row, bonus = spots[of[want]], rows[of[want]], bonuses[of[want]]
         if q == 0:
-            best, chunk = np.where(same, 16 + 2 * bonus, LOW), np.where(same, bonus, 0)
-            links.append(np.full((rows, n), -1))
-            continue
-        reach = np.where(best > LOW, best + at, LOW)
-        top = np.maximum.accumulate(reach, axis=1)
-        fresh = np.concatenate([np.ones((rows, 1), bool), top[:, 1:] > top[:, :-1]], axis=1)
-        where = np.maximum.accumulate(np.where(fresh, at, 0), axis=1)
-        run, source = np.full((rows, n), LOW), np.full((rows, n), -1)
-        run[:, 2:] = np.where(top[:, :-2] > LOW, top[:, :-2] - at[2:] - 1, LOW)
-        source[:, 2:] = where[:, :-2]
-        last, first = np.full((rows, n), LOW), np.zeros((rows, n), np.int64)
-        last[:, 1:], first[:, 1:] = best[:, :-1], chunk[:, :-1]
-        direct = np.where(last > LOW, last + 16 + np.maximum(np.maximum(bonus, first), 4), LOW)
-        gapped = np.where(run > LOW, run + 16 + bonus, LOW)
-        near = same & (direct >= gapped) & (direct > LOW)
-        far = same & ~near & (gapped > LOW)
-        best = np.where(near, direct, np.where(far, gapped, LOW))
-        chunk = np.where(near, np.maximum(bonus, first), np.where(far, bonus, 0))
-        links.append(np.where(near, at - 1, np.where(far, source, -1)))
-    scores, ends = best.max(axis=1), best.argmax(axis=1)
-    columns = np.zeros((rows, len(query)), np.int64)
-    place = ends
-    for q in range(len(query) - 1, -1, -1):
-        columns[:, q] = place
-        place = np.maximum(links[q][np.arange(rows), place], 0)
-    return [(int(x), c.tolist()) if x > LOW else None for x, c in zip(scores, columns, strict=True)]
+            step = place, row, 16 + 2 * bonus, bonus, np.full(len(place), -1)
+        elif not len(steps[-1][0]):
+            step = tuple(np.zeros(0, np.int64) for _ in range(5))
+        else:
+            there, its, score, chunk, _ = steps[-1]
+            top = np.maximum.accumulate(score + there + its * APART)
+            source = np.maximum.accumulate(np.where(np.concatenate([[True], top[1:] > top[:-1]]), np.arange(len(top)), 0))
+            n = np.searchsorted(there, place)
+            by = np.maximum(n - 1, 0)
+            touch = (n > 0) & (there[by] == place - 1)
+            far = source[np.maximum(n - touch - 1, 0)]
+            gaps, touch = (n > touch) & (its[far] == row), touch & (its[by] == row)
+            run = np.maximum(bonus, chunk[by])
+            direct, gapped = score[by] + 16 + np.maximum(run, 4), score[far] + there[far] - place + 15 + bonus
+            near = touch & (~gaps | (direct >= gapped))
+            step = tuple(x[near | gaps] for x in (place, row, np.where(near, direct, gapped), np.where(near, run, bonus), np.where(near, by, far)))
+        if held[q]:
+            step = tuple(np.concatenate([np.array(x, np.int64), y]) for x, y in zip(([h[0] for h in held[q]], [0] * len(held[q]), [h[1] for h in held[q]], [h[2] for h in held[q]], [-1] * len(held[q])), step, strict=True))
+        steps.append(step)
+    return steps
 
 
 def fuzzy_match(text: str, query: str) -> tuple[int, list[int]] | None:

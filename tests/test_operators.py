@@ -155,6 +155,27 @@ def test_fuzzy_match_finds_the_best(spark):
             assert got[0] == score(text, got[1]) and got[0] >= max(score(text, c) for c in ways) - 8
 
 
+def test_fuzzy_matches_hold_little_whatever_the_lengths(monkeypatch):
+    """A long line among short ones: what is held follows their sum, not the longest times their number."""
+    import tracemalloc
+
+    short, long = ["Glass-furnace 1st"] * 2000, "x glass " * 250
+    tracemalloc.start()
+    try:
+        got = lines.fuzzy_matches([*short, long], "glsfr")
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[0] == lines.fuzzy_match(short[0], "glsfr") and got[:2000] == got[:1] * 2000 and got[2000] is None
+    assert held < 64 << 20
+
+    random.seed(7)
+    texts = ["".join(random.choice("abB -1") for _ in range(3000)) for _ in range(4)]
+    whole = lines.fuzzy_matches(texts, "ab1ab")
+    monkeypatch.setattr(lines, "AT_ONCE", 1)  # each is cut into stretches
+    assert lines.fuzzy_matches(texts, "ab1ab") == whole and all(whole)
+
+
 def test_columns_and_ranked_lines(spark):
     df = spark.createDataFrame([(1, 0, "Glass of glasses"), (1, 1, ""), (1, 2, None), (2, 0, "furnace glas"), (2, 1, "kiln")], "note_id bigint, row_no int, text string")
     found = {(r[0], r[1]): r[2] for r in df.select("note_id", "row_no", lines.match_columns(F.col("text"), ["glass", "of"])).collect()}
