@@ -176,6 +176,29 @@ def test_fuzzy_matches_hold_little_whatever_the_lengths(monkeypatch):
     assert lines.fuzzy_matches(texts, "ab1ab") == whole and all(whole)
 
 
+def test_best_lines_of_each_note_beside_a_long_line(spark, monkeypatch):
+    """What ``fuzzy_lines_each`` runs on a batch holds little, and all lines of all notes come out."""
+    import tracemalloc
+
+    import pandas as pd
+
+    own = [(k // 50, k % 50, "Glass-furnace 1st") for k in range(2000)] + [(7, 50, "glass fr " * 250), (90, 0, "x" * 2500 + " glsfr")]
+    df = spark.createDataFrame(own, "note_id bigint, row_no int, text string")
+    ran = []
+    kept = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: ran.append(run) or kept(self, run, schema))
+    got = {(r["note_id"], r["row_no"]): r["rank"] for r in lines.fuzzy_lines_each(df, "glsfr", 3).collect()}
+    assert len(got) == 40 * 3 + 1 and got[90, 0] == 1 and got[7, 50] <= 3
+    assert all(got[k, 0] == 1 and got[k, 1] == 2 and got[k, 2] == 3 for k in range(40) if k != 7)
+    tracemalloc.start()
+    try:
+        assert sum(map(len, ran[0](iter([pd.DataFrame(own, columns=["note_id", "row_no", "text"])])))) == 2002
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held < 64 << 20
+
+
 def test_columns_and_ranked_lines(spark):
     df = spark.createDataFrame([(1, 0, "Glass of glasses"), (1, 1, ""), (1, 2, None), (2, 0, "furnace glas"), (2, 1, "kiln")], "note_id bigint, row_no int, text string")
     found = {(r[0], r[1]): r[2] for r in df.select("note_id", "row_no", lines.match_columns(F.col("text"), ["glass", "of"])).collect()}
